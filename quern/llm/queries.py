@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quern.llm import mixing, packing
+from quern.llm import language, mixing, packing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +22,18 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language.fit(docs.filter(docs["doc_id"].isNotNull() & ~language.held_out(docs["doc_id"])))
+    out = language.identify(docs, model, ("doc_id",))
+    return out.select("doc_id", language.held_out(out["doc_id"]).alias("held_out"), "lang_pred", "score")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return out.select("doc_id", *quality.FEATURES, "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     sized = docs.select("doc_id", "source", mixing.word_count(docs["text"]).alias("n"))
@@ -32,6 +45,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_language_id": op2_language_id,
+    "op5_quality_rules": op5_quality_rules,
     "op7_mixing": op7_mixing,
     "op10_packing": op10_packing,
 }
