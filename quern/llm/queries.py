@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import language, mixing, packing, quality
+from quern.llm import language, mixing, packing, quality, secret_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language.held_out(out["doc_id"]).alias("held_out"), "lang_pred", "score")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(read(spark, sf_dir, "documents"), ("doc_id",))
+    number = lambda kind: F.size(F.expr(f"filter(found, x -> x.kind = '{kind}')")).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", number("assign"), number("access"), number("hex"), F.sha2(secret_scan.joined("x.base"), 256).alias("base_sha256"), secret_scan.joined().alias("spans"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return out.select("doc_id", *quality.FEATURES, "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
@@ -46,6 +52,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_language_id": op2_language_id,
+    "op3_secret_scan": op3_secret_scan,
     "op5_quality_rules": op5_quality_rules,
     "op7_mixing": op7_mixing,
     "op10_packing": op10_packing,
