@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import language, mixing, packing, quality, secret_scan
+from quern.llm import language, mixing, packing, quality, secret_scan, topk, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,11 +35,25 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", number("assign"), number("access"), number("hex"), F.sha2(secret_scan.joined("x.base"), 256).alias("base_sha256"), secret_scan.joined().alias("spans"))
 
 
+LISTED_LABELS = ("adult-x", "casino-win", "cheap-pills", "spam-farm")
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    out = url_filter.verdicts(pages, url_filter.listed_by_label(pages, LISTED_LABELS))
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return out.select("doc_id", *quality.FEATURES, "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").filter(topk.usable(F.col("embedding"))).select("vec_id", topk.quantised(F.col("embedding")).alias("v"))
+    return topk.search(vectors, vectors.filter("vec_id % 50 = 0"), 5)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     sized = docs.select("doc_id", "source", mixing.word_count(docs["text"]).alias("n"))
@@ -53,8 +67,42 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_language_id": op2_language_id,
     "op3_secret_scan": op3_secret_scan,
+    "op4_url_filter": op4_url_filter,
     "op5_quality_rules": op5_quality_rules,
+    "op6_exact_topk": op6_exact_topk,
     "op7_mixing": op7_mixing,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {}
+
+ORACLES: dict[str, str] = {
+    "op4_url_filter": r"""
+WITH parts AS (
+  SELECT page_id, coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), '') AS h, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path,
+         coalesce(regexp_extract(url, '^.*?://[^/?#]*[^?#]*(\?[^#]*)', 1, 's'), '') AS q
+  FROM pages),
+low AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path, q FROM parts),
+keyed AS (
+  SELECT page_id, host, path, CASE WHEN regexp_replace(host, '^www\.', '') <> '' THEN
+    concat(regexp_replace(host, '^www\.', ''), regexp_replace(path, '/+$', ''), regexp_replace(regexp_replace(regexp_replace(q, '^\?', '&'), '&utm_[^&]*', '', 'g'), '^&', '?')) END AS key
+  FROM low),
+listed AS (SELECT DISTINCT key FROM keyed WHERE key IS NOT NULL AND regexp_matches(host, '(^|\.)(adult-x|casino-win|cheap-pills|spam-farm)(\.|$)')),
+ruled AS (
+  SELECT page_id, host, path, key,
+    CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+         WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+         WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+         WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule
+  FROM keyed)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+       WHEN EXISTS (SELECT 1 FROM listed l WHERE l.key = ruled.key) THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled""",
+    "op6_exact_topk": """
+WITH flat AS (SELECT vec_id, embedding FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
+e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM flat),
+c AS (SELECT vec_id, i, floor(256 * x)::BIGINT AS v FROM e),
+s AS (SELECT q.vec_id AS query_id, r.vec_id AS vec_id, sum(q.v * r.v)::BIGINT AS score
+      FROM c q JOIN c r ON q.i = r.i AND q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1, 2),
+k AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5""",
+}
