@@ -20,11 +20,12 @@ rows are packed one by one; an empty table gives no pieces; other columns are ig
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -36,7 +37,9 @@ WINDOW = 2048
 OPEN_WINDOWS = 64
 MIN_CUT = 16
 END_ID = 1
-CACHE = 1 << 18
+CACHE = 1 << 19
+# Fixed value: the pre-tokens of byte-level BPE.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 ARROW = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
 
@@ -45,13 +48,13 @@ _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
 class _Pieces(dict):
-    """Little-endian unsigned 32-bit ids of a piece of text; the oldest ones go when it is full."""
+    """Little-endian unsigned 32-bit ids of short pieces of text; emptied when full."""
 
-    def __init__(self, tokenizer, lead: str):
-        self.tokenizer, self.lead = tokenizer, lead
+    def __init__(self, ids_of: Callable[[str], list[int]], lead: str):
+        self.ids_of, self.lead = ids_of, lead
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.tokenizer.encode(self.lead + piece, add_special_tokens=False).ids if piece or self.lead else []
+        ids = self.ids_of(self.lead + piece)
         out = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:
             if len(self) >= CACHE:
@@ -60,14 +63,47 @@ class _Pieces(dict):
         return out
 
 
+def byte_of() -> dict[str, int]:
+    """The characters that stand for bytes in files of byte-level vocabularies: printable bytes
+    stand for themselves, the others, in order, for the characters from 256 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    other = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(other)}
+
+
+def piece_encoder(path: str) -> Callable[[str], list[int]]:
+    """Ids of short pieces by the tokenizer's file. Calls of the tokenizer cost more than the
+    pieces, so where the file is a plain byte-level BPE, its merges numbered in order, another
+    implementation is given the file's vocabulary; it does not know the special tokens, and
+    pieces that contain one go to the tokenizer itself."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    own = lambda piece: tokenizer.encode(piece, add_special_tokens=False).ids
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    model, lead = file["model"], file.get("pre_tokenizer") or {}
+    merges = [m if isinstance(m, str) else " ".join(m) for m in model.get("merges", ())]
+    vocabulary = model.get("vocab", {})
+    special = [t["content"] for t in file.get("added_tokens", ())]
+    plain = model.get("type") == "BPE" and lead.get("type") == "ByteLevel" and not lead.get("add_prefix_space") and lead.get("use_regex", True) and not file.get("normalizer")
+    ranks = [vocabulary.get(m.replace(" ", "")) for m in merges]
+    if not plain or ranks != sorted({r for r in ranks if r is not None}):
+        return own
+    import tiktoken
+
+    byte = byte_of()
+    table = {bytes(byte[c] for c in word): k for word, k in vocabulary.items() if word not in special}
+    fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+    return lambda piece: own(piece) if any(t in piece for t in special) else fast(piece)
+
+
 class Encoder:
     """Whole texts to ids, as packed 32-bit integers."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        self.bare, self.spaced = _Pieces(tokenizer, ""), _Pieces(tokenizer, " ")
+        ids_of = piece_encoder(path)
+        self.bare, self.spaced = _Pieces(ids_of, ""), _Pieces(ids_of, " ")
         self.feed = self.bare["\n"]
 
     def __call__(self, text: str | None) -> bytes:
