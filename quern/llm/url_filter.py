@@ -1,11 +1,9 @@
 """URL filter: allow and block rules, then a list of canonical URLs behind a blocked Bloom filter.
 
 Rules (host, path) fit a host and its subdomains where the path starts with the rule's; the longest
-decides. Other URLs are blocked if their canonical form is listed. The list is hashed into a Bloom
-filter of 256-bit blocks: one hash picks the block, another sets two bits in each of its four
-words. The filter is a table of (block, four words) with at most ``MAX_BLOCKS`` rows, 40 bytes each,
-so broadcasting it is safe however long the list is. Only URLs whose bits are all set take part in
-the exact join with the list, which removes the false positives. Everything is a DataFrame
+decides. Other URLs are blocked if their canonical form is listed. The list is hashed into a blocked
+Bloom filter, a table of bounded size that is broadcast. Only URLs whose bits are all set take part
+in the exact join with the list, which removes the false positives. Everything is a DataFrame
 expression.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, fits no rule and is
@@ -21,11 +19,9 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm import bloom
 from quern.session import table
 
-MAX_BLOCKS = 1 << 17
-BITS_PER_URL = 16
-WORDS = 4
 # Verdict, host and path of the rules.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 MADE = ("host", "path", "rule", "verdict")
@@ -52,39 +48,19 @@ def canonical(url: Column) -> Column:
     return F.when(h != "", F.concat(h, F.regexp_replace(path(url), r"/+$", ""), F.regexp_replace(query, r"^&", "?")))
 
 
-def _block(key: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(1)), F.lit(blocks))
-
-
-def _masks(key: Column) -> list[Column]:
-    """The two bits of each word, from twelve bits of a second hash."""
-    h = F.xxhash64(key, F.lit(2))
-    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 6 * k).bitwiseAND(F.lit(63)).cast("int"))
-    return [bit(2 * w).bitwiseOR(bit(2 * w + 1)) for w in range(WORDS)]
-
-
-def bloom(keys: DataFrame, blocks: int) -> DataFrame:
-    """(_block, _w0 ... _w3) of the column ``key``; blocks without a key have no row."""
-    masks = keys.select(_block(F.col("key"), blocks).alias("_block"), *(m.alias(f"_w{k}") for k, m in enumerate(_masks(F.col("key")))))
-    return masks.groupBy("_block").agg(*(F.bit_or(f"_w{k}").alias(f"_w{k}") for k in range(WORDS)))
-
-
 def verdicts(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """``pages`` (with ``url``) with host, path, rule and verdict. ``listed``: a column ``url``."""
     keys = table(listed.select(canonical(F.col("url")).alias("key")).filter("key is not null").distinct(), "listed-urls")
-    blocks = min(MAX_BLOCKS, 1 << max(0, (keys.count() * BITS_PER_URL // (64 * WORDS)).bit_length()))
+    blocks = bloom.size(keys.count())
     kept = [c for c in pages.columns if c not in MADE]
     out = pages.select(*kept, host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), canonical(F.col("url")).alias("_key"))
     rule = decided = F.lit(None).cast("string")
     for verdict, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
         fits = ((F.col("host") == h) | F.col("host").endswith(f".{h}")) & F.col("path").startswith(p)
         rule, decided = F.when(fits, F.lit(h + p)).otherwise(rule), F.when(fits, F.lit(verdict)).otherwise(decided)
-    out = out.withColumns({"rule": rule, "_decided": decided, "_block": _block(F.col("_key"), blocks)})
-    out = out.join(F.broadcast(bloom(keys, blocks)), "_block", "left")
-    possible = F.col("_key").isNotNull()
-    for k, mask in enumerate(_masks(F.col("_key"))):
-        possible = possible & (F.col(f"_w{k}").bitwiseAND(mask) == mask)
-    out = out.withColumn("_possible", F.coalesce(possible, F.lit(False)) & F.col("_decided").isNull())
+    out = out.withColumns({"rule": rule, "_decided": decided})
+    out = bloom.probe(out, "_key", bloom.build(keys, "key", blocks), blocks)
+    out = out.withColumn("_possible", F.col("_possible") & F.col("_decided").isNull())
     sure = out.filter(~F.col("_possible")).withColumn("verdict", F.coalesce("_decided", F.lit("allow")))
     hits = out.filter("_possible").join(keys.select(F.col("key").alias("_key"), F.lit(True).alias("_listed")), "_key", "left")
     hits = hits.withColumn("verdict", F.when(F.col("_listed"), F.lit("block")).otherwise(F.lit("allow")))
