@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import language, mixing, near_dedup, packing, quality, secret_scan, topk, url_filter
+from quern.llm import language, mixing, near_dedup, packing, quality, repeats, secret_scan, topk, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +64,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized, size=sized["n"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(read(spark, sf_dir, "documents")).drop("kept_bytes")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), byte_bpe())
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_exact_topk": op6_exact_topk,
     "op7_mixing": op7_mixing,
+    "op9_repeats": op9_repeats,
     "op10_packing": op10_packing,
 }
 
