@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import language, mixing, near_dedup, packing, quality, repeats, secret_scan, topk, url_filter
+from quern.llm import language, line_dedup, mixing, near_dedup, packing, quality, repeats, secret_scan, topk, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +64,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized, size=sized["n"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(read(spark, sf_dir, "documents")).drop("kept_bytes")
 
@@ -80,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_exact_topk": op6_exact_topk,
     "op7_mixing": op7_mixing,
+    "op8_line_dedup": op8_line_dedup,
     "op9_repeats": op9_repeats,
     "op10_packing": op10_packing,
 }
