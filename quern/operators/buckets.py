@@ -21,9 +21,9 @@ def pass_rates(graded: DataFrame, sample: str, k: int | str, *keep: str) -> Data
 def stats(rates: DataFrame, *by: str) -> DataFrame:
     return rates.groupBy(*by).agg(
         F.count("*").alias("num_samples"),
-        F.count_if("pass_rate = 1").alias("too_easy"),
-        F.count_if("pass_rate = 0").alias("too_hard"),
-        F.count_if("pass_rate > 0 and pass_rate < 1").alias("keep"),
+        F.count_if(F.expr("pass_rate = 1")).alias("too_easy"),
+        F.count_if(F.expr("pass_rate = 0")).alias("too_hard"),
+        F.count_if(F.expr("pass_rate > 0 and pass_rate < 1")).alias("keep"),
         F.coalesce(F.avg("pass_rate"), F.lit(0.0)).alias("mean_pass_rate"),
     )
 
@@ -37,7 +37,7 @@ def histogram(rates: DataFrame, k: int) -> DataFrame:
 
 def rollup(rates: DataFrame, source: str) -> DataFrame:
     """By source, and over all (a null source): samples, kept ones, and their share."""
-    out = rates.rollup(source).agg(F.count("*").alias("n"), F.count_if("pass_rate > 0 and pass_rate < 1").alias("keep"))
+    out = rates.rollup(source).agg(F.count("*").alias("n"), F.count_if(F.expr("pass_rate > 0 and pass_rate < 1")).alias("keep"))
     return out.withColumn("keep_share", F.try_divide("keep", "n"))
 
 

@@ -233,7 +233,7 @@ def puzzle_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def group_advantages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return buckets.advantage(_graded(spark, sf_dir), "sample").select("sample", "idx", F.round("advantage", 6).alias("advantage"))
+    return buckets.advantage(_graded(spark, sf_dir), "sample").select("sample", "idx", (F.round("advantage", 6) + F.lit(0.0)).alias("advantage"))
 
 
 # Buckets
@@ -283,7 +283,7 @@ def mix_taken(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix_schema_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = views.puzzles(spark, sf_dir).withColumns({"numbers": F.array("a", "b", "c"), "expr": F.lit("")})
     both = mix.union([clean.kept(_parsed(spark, sf_dir)), puzzles.records(p, "train")])
-    return both.select("data_source", F.col("extra_info.index").alias("index"), F.col("extra_info.question").alias("question"), F.array_join(F.col("extra_info.numbers").cast("array<string>"), ",").alias("numbers"), F.col("extra_info.target").alias("target"))
+    return both.select("data_source", F.col("extra_info.index").alias("index"), F.col("extra_info.question").alias("question"), F.array_join(F.col("extra_info.numbers").cast("array<string>"), ",").alias("numbers"), F.col("extra_info.target").cast("string").alias("target"))
 
 
 # Evaluation
