@@ -28,6 +28,7 @@ def links(members: DataFrame, key: list[str], close: str, confirm: Callable[[Dat
     already. Confirmed links (a, b), or None if there are none."""
     found: list[DataFrame] = []
     tried: DataFrame | None = None
+    together: DataFrame | None = None
     now = members.withColumn("c", F.col("id"))
     at_once = [x for x in carried if x in members.columns]
     for number in range(ROUNDS + 1):
@@ -48,7 +49,7 @@ def links(members: DataFrame, key: list[str], close: str, confirm: Callable[[Dat
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = table(pairs, "pairs")
         if pairs.isEmpty():
-            break
+            continue
         tried = pairs if tried is None else tried.unionByName(pairs)
         found.append(table(confirm(pairs), "links"))
         together = found[0]
@@ -57,4 +58,4 @@ def links(members: DataFrame, key: list[str], close: str, confirm: Callable[[Dat
         if number < ROUNDS:
             comp = components(together).select(F.col("node").alias("id"), "component")
             now = table(members.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"), "buckets-now")
-    return together if found else None
+    return together
