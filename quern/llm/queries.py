@@ -113,6 +113,29 @@ SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
        WHEN EXISTS (SELECT 1 FROM listed l WHERE l.key = ruled.key) THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled""",
+    "op1_near_dedup": r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents),
+places AS (SELECT doc_id, t, unnest(range(1, greatest(len(t) - 2, 1) + 1)) AS p FROM words WHERE len(t) > 0),
+sets AS (SELECT DISTINCT doc_id, array_to_string(list_slice(t, p, p + 2), ' ') AS s FROM places),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, sides.b FROM reach JOIN sides ON reach.y = sides.a),
+least_of AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT d.doc_id AS doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN least_of ON x = d.doc_id LEFT JOIN sizes ON sizes.doc_id = d.doc_id""",
+    "op7_mixing": r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(concat_ws(':', '17', coalesce(cast(doc_id AS VARCHAR), ''))) AS h FROM documents),
+nb AS (SELECT greatest(1, ceil(count(*) / 65536.0))::BIGINT AS n FROM d),
+totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+weighed AS (SELECT *, ([5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w, 2.0::DOUBLE * source_size AS cap FROM totals),
+levels AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - (sum(cap) OVER o - cap)) / (sum(w) OVER () - (sum(w) OVER o - w)) AS level FROM weighed WINDOW o AS (ORDER BY cap / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+lowest AS (SELECT arg_min(level, cap / w) AS level FROM levels WHERE level * w < cap),
+targets AS (SELECT source, source_size, CASE WHEN lowest.level IS NULL THEN cap ELSE least(cap, lowest.level * w) END AS target FROM levels, lowest),
+ranked AS (SELECT d.*, row_number() OVER (PARTITION BY source ORDER BY length(bin(size)), ('0x' || substr(h, 1, 8))::BIGINT % n, size, h, doc_id) AS k FROM d, nb),
+rated AS (SELECT doc_id, size, source_size, target, k, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS r, ('0x' || substr(md5('17/' || coalesce(t.source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+  FROM ranked JOIN targets t ON ranked.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, ((floor(k * r + u) - floor((k - 1) * r + u)) * size)::BIGINT AS taken FROM rated""",
     "op6_exact_topk": """
 WITH flat AS (SELECT vec_id, embedding FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
 e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM flat),
