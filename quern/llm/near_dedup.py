@@ -7,17 +7,17 @@ permutations. At 32 bands of 8 values a pair at similarity 0.85 shares no band w
 4e-5; of 6 values, at 0.8, 6e-5.
 
 Documents with the same set (two 64-bit sums over its hashes) are one class, which its smallest id
-stands for; only classes are banded. Members of a bucket are compared with one leader, not with
-each other. What has come to the same component needs no further comparison. After ``ROUNDS``
-rounds with other leaders each, buckets that still hold several components have their members
-compared across components, within the join, by sketches of ``SKETCH`` bits (one bit of each least
-and greatest value under further permutations): a pair at the wanted similarity falls short of the
-bound, five standard deviations below what it expects, with probability 3e-7. So no group of
-copies is paired out. Links are confirmed on the full sets of 64-bit shingle hashes.
+stands for; only classes are banded. Members of a bucket are linked as ``linking`` says: with
+leaders, and what that leaves across components by sketches of ``SKETCH`` bits (one bit of each
+least and greatest value under further permutations), in the first bucket that two members share.
+A pair at the wanted similarity falls short of the sketches' bound, five standard deviations below
+what it expects, with probability 3e-7. So no group of copies is paired out. Links are confirmed
+on the full sets of 64-bit shingle hashes.
 
 Defined cases: a null text, or one without words, has no shingles and no links; one with fewer
 words than a shingle has a single shingle, of all its words; rows without an id get no component
-and are kept; rows that repeat an id are one node; an empty table gives an empty result; other
+and are kept; rows that repeat an id are one node, linked by the text that
+is first in order; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -34,13 +34,13 @@ from pyspark.sql import functions as F
 
 from quern.llm import words as W
 from quern.llm.components import components
+from quern.llm.linking import links
 from quern.session import attach, table
 
 WORDS = 5
 SIMILARITY = 80
 BANDS = 32
-ROUNDS = 2
-SKETCH = 4096
+SKETCH = 3072
 PER_BAND = {80: 3, 85: 4}
 
 
@@ -111,10 +111,15 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "id long, shingles array<long>")
 
 
-def sketches(sets: DataFrame) -> DataFrame:
-    """id and SKETCH bits, as columns of longs, of each set. Columns, not an array: the join's condition
-    then compiles to one short method."""
-    names = [f"s{k}" for k in range(SKETCH // 64)]
+def carried(bands: int) -> list[str]:
+    """Columns of a sketch: SKETCH bits, then the band hashes. Columns, not arrays: the join's
+    condition then compiles to one short method."""
+    return [*(f"s{k}" for k in range(SKETCH // 64)), *(f"v{k}" for k in range(bands))]
+
+
+def sketches(sets: DataFrame, bands: int, per_band: int) -> DataFrame:
+    """id and the sketch of each set."""
+    names = carried(bands)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flips = W.stream(23, SKETCH // 2).astype(np.uint32)
@@ -122,7 +127,8 @@ def sketches(sets: DataFrame) -> DataFrame:
         for batch in batches:
             for first in range(0, len(batch), 256):
                 part = batch.slice(first, 256)
-                x = part.column(1).flatten().to_numpy().view(np.uint64).astype(np.uint32)
+                whole = part.column(1).flatten().to_numpy().view(np.uint64)
+                x = whole.astype(np.uint32)
                 at = np.concatenate([[0], np.cumsum(pc.list_value_length(part.column(1)).to_numpy())])[:-1]
                 bits = np.empty((len(part), SKETCH), np.uint8)
                 for j in range(SKETCH // 2):
@@ -131,17 +137,19 @@ def sketches(sets: DataFrame) -> DataFrame:
                     y ^= y >> np.uint32(15)
                     bits[:, 2 * j] = np.minimum.reduceat(y, at) & 1
                     bits[:, 2 * j + 1] = np.maximum.reduceat(y, at) & 1
-                packed = np.packbits(bits, axis=1).view(np.int64)
+                packed = np.column_stack([np.packbits(bits, axis=1).view(np.int64), signatures(whole, at, bands, per_band).view(np.int64)])
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(c)) for c in packed.T)], names=["id", *names])
 
     return sets.mapInArrow(run, ", ".join(["id long", *(f"{n} long" for n in names)]))
 
 
-def alike(similarity: int) -> str:
-    """SQL: the sketches s and t agree in as many bits as similar sets' do."""
+def alike(similarity: int, bands: int) -> str:
+    """SQL: two sketches agree in as many bits as similar sets' do, and this is their first band."""
     p = (1 + similarity / 100) / 2
     most = math.ceil(SKETCH * (1 - p) + 5 * math.sqrt(SKETCH * p * (1 - p)))
-    return " + ".join(f"bit_count(s{k} ^ t{k})" for k in range(SKETCH // 64)) + f" <= {most}"
+    differ = " + ".join(f"bit_count(s{k} ^ o_s{k})" for k in range(SKETCH // 64))
+    first = " ".join(f"WHEN v{k} = o_v{k} THEN {k}" for k in range(bands))
+    return f"{differ} <= {most} AND band = CASE {first} END"
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -155,14 +163,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 
 def groups(docs: DataFrame, k: int = WORDS, similarity: int = SIMILARITY, bands: int = BANDS, per_band: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text)."""
-    made = table(profiles(docs, k, bands, per_band or PER_BAND[similarity]), "min-max")
+    per_band = per_band or PER_BAND[similarity]
+    made = table(profiles(docs, k, bands, per_band), "min-max")
     identical = made.filter("n_shingles > 0 and doc_id is not null").groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("id"))
     identical = table(identical, "set-classes")
     band = made.join(identical.select("id"), made["doc_id"] == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "value")).distinct()
     band = table(band, "bands")
     shared = band.groupBy("band", "value").agg(F.count("*").alias("_k")).filter("_k > 1").select("band", "value")
     members = table(band.join(shared, ["band", "value"]), "buckets")
-    linked = _links(docs, members, k, similarity)
+    linked = _links(docs, members, k, similarity, bands, per_band)
     comp = components(linked) if linked is not None else None
     out = made.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set1")).alias("set1"), F.when(F.col("n_shingles") > 0, F.col("set2")).alias("set2"))
     out = out.join(identical, ["set1", "set2", "n_shingles"], "left")
@@ -174,45 +183,17 @@ def groups(docs: DataFrame, k: int = WORDS, similarity: int = SIMILARITY, bands:
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _links(docs: DataFrame, members: DataFrame, k: int, similarity: int) -> DataFrame | None:
+def _links(docs: DataFrame, members: DataFrame, k: int, similarity: int, bands: int, per_band: int) -> DataFrame | None:
     """Confirmed links that give the components of all pairs that share a bucket."""
     involved = members.select(F.col("id").alias("doc_id")).distinct()
     if involved.isEmpty():
         return None
-    texts = docs.select("doc_id", "text").join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = docs.select("doc_id", "text").join(involved, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     sets = table(full_sets(texts, k), "sets")
+
+    def sketch(rest: DataFrame) -> DataFrame:
+        drawn = sketches(sets.join(rest.select("id").distinct(), "id", "left_semi"), bands, per_band)
+        return rest.join(table(drawn, "sketches"), "id")
+
     close = f"100 * least(na, nb) >= {similarity} * greatest(na, nb)"
-    found: list[DataFrame] = []
-    tried: DataFrame | None = None
-    now = members.withColumn("c", F.col("id"))
-    for number in range(ROUNDS + 1):
-        key = ["band", "value"]
-        several = now.groupBy(*key).agg(F.min("c").alias("_least"), F.max("c").alias("_most"), F.min_by(F.struct("id", "n", "c"), F.struct(F.xxhash64("id", F.lit(number)), F.col("id"))).alias("lead")).filter("_least < _most")
-        if number < ROUNDS:
-            pairs = now.join(several.select(*key, "lead"), key).filter("c <> lead.c")
-            pairs = pairs.select(F.col("id").alias("a"), F.col("lead.id").alias("b"), F.col("n").alias("na"), F.col("lead.n").alias("nb"))
-        else:
-            rest = table(now.join(several.select(*key), key), "buckets-mixed")
-            drawn = table(sketches(sets.join(rest.select("id").distinct(), "id", "left_semi")), "sketches")
-            rest = rest.join(drawn, "id")
-            words = range(SKETCH // 64)
-            other = rest.select(*key, F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), *(F.col(f"s{k}").alias(f"t{k}") for k in words))
-            pairs = rest.select(*key, F.col("id").alias("a"), F.col("n").alias("na"), "c", *(f"s{k}" for k in words)).join(other, key)
-            pairs = pairs.filter("c < cb").filter(alike(similarity)).select("a", "b", "na", "nb")
-        pairs = pairs.filter(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = table(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found.append(table(confirmed(pairs, sets, similarity), "links"))
-        links = found[0]
-        for f in found[1:]:
-            links = links.unionByName(f)
-        if number < ROUNDS:
-            comp = components(links)
-            now = table(members.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("band", "value", "id", "n", F.coalesce("component", "id").alias("c")), "buckets-now")
-    if not found:
-        return None
-    return links
+    return links(members, ["band", "value"], close, lambda pairs: confirmed(pairs, sets, similarity), sketch, carried(bands), alike(similarity, bands))
