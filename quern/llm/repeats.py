@@ -6,7 +6,8 @@ starts anywhere else in the corpus, same document included.
    place. A corpus has one anchor in about fifty bytes.
 2. Anchors are counted by gram, partly before the shuffle, along with the least and the greatest
    hash of the 300 bytes around them. A gram that occurs once repeats no window. One whose
-   surroundings are all equal repeats all windows of each anchor.
+   surroundings are all equal repeats all windows of each anchor, and so do anchors of other grams
+   whose surroundings occur twice; of these one anchor stands for all in the next step.
 3. What is left is settled by sorted suffixes: the surroundings of a gram's anchors are sorted by
    what follows the anchor and by what precedes it; from the common lengths of neighbours come the
    classes of equal continuations of any length, and a window of ``l`` bytes before and ``200 - l``
@@ -226,6 +227,13 @@ def cut(joined: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
 
 
+def _only(texts: DataFrame, rids: DataFrame, rest: bool = False) -> DataFrame:
+    """The texts that may be among the rids, or all, with ``_possible``."""
+    blocks = bloom.size(rids.count())
+    marked = bloom.probe(texts, "rid", table(bloom.build(rids, "rid", blocks), "texts-wanted"), blocks)
+    return marked if rest else marked.filter("_possible")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_bytes for each row (doc_id, text)."""
     attach(docs.sparkSession)
@@ -235,16 +243,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("around").alias("_least"), F.max("around").alias("_most")).filter("n > 1")
     grams = table(grams.select("gram", "n", (F.col("_least") == F.col("_most")).alias("equal")), "repeated-grams")
     blocks = bloom.size(grams.count())
-    hits = bloom.probe(found, "gram", bloom.build(grams, "gram", blocks), blocks).filter("_possible").drop("_possible", "around")
+    hits = bloom.probe(found, "gram", bloom.build(grams, "gram", blocks), blocks).filter("_possible").drop("_possible")
     hits = table(hits.join(grams, "gram"), "repeated-anchors")
+    at = F.struct("rid", "place")
+    kinds = hits.filter("not equal").groupBy("gram", "around").agg(F.count("*").alias("_k"), F.min(at).alias("_first"))
+    open_ = table(hits.filter("not equal").join(kinds, ["gram", "around"]).select("gram", "rid", "place", (F.col("_k") > 1).alias("equal"), (at == F.col("_first")).alias("stands")), "open-anchors")
 
-    docs_hit = hits.select("rid").distinct()
-    doc_blocks = bloom.size(docs_hit.count())
-    bits = table(bloom.build(docs_hit, "rid", doc_blocks), "documents-hit")
-    texts = bloom.probe(texts, "rid", bits, doc_blocks)
-
-    open_ = hits.filter("not equal").groupBy("rid").agg(F.collect_list(F.struct("gram", "place")).alias("at"))
-    around = surroundings(texts.filter("_possible").join(open_, "rid").select("rid", "text", "at"))
+    wanted = open_.filter("stands").groupBy("rid").agg(F.collect_list(F.struct("gram", "place")).alias("at"))
+    around = surroundings(_only(texts, open_.filter("stands").select("rid").distinct()).join(wanted, "rid").select("rid", "text", "at"))
     many = grams.filter(f"n > {SORTED}").select("gram")
     if not many.isEmpty():
         around = table(around, "surroundings", compression="zstd")
@@ -252,8 +258,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     else:
         spans = sorted_spans(around)
     lead = F.least(F.lit(LEAD), F.col("place"))
-    whole = hits.filter("equal").select("rid", (F.col("place") - lead).alias("start"), (F.col("place") + LENGTH).alias("end"))
+    whole = hits.filter("equal").select("rid", "place").unionByName(open_.filter("equal").select("rid", "place"))
+    whole = whole.select("rid", (F.col("place") - lead).alias("start"), (F.col("place") + LENGTH).alias("end"))
     runs = spans.unionByName(whole).groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    runs = table(runs, "spans")
+    texts = _only(texts, runs.select("rid"), rest=True)
     removed = cut(texts.filter("_possible").join(runs, "rid", "left").select("doc_id", "text", "spans"))
     raw = F.encode(F.col("text"), "UTF-8")
     rest = texts.filter("not _possible").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256"), raw.alias("kept_bytes"))
