@@ -118,11 +118,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's k best rows. Both inputs:
     vec_id, and ``v``, an array of longs."""
     attach(vectors.sparkSession)
-    rows = table(vectors.select(F.col("vec_id").cast("long"), "v").filter("vec_id is not null and v is not null"), "vectors")
-    asked = table(queries.select(F.col("vec_id").cast("long"), "v").filter("vec_id is not null and v is not null").distinct(), "vector-queries")
+    valid = "vec_id is not null and v is not null"
+    rows = vectors.select(F.col("vec_id").cast("long"), "v").filter(valid)
+    asked = queries.select(F.col("vec_id").cast("long"), "v").filter(valid).distinct()
+    # Written with the tables: made beside explode(), each copy of a row would get a number of its own.
+    rows = table(rows.withColumn("_rid", F.monotonically_increasing_id()), "vectors")
+    asked = table(asked.withColumn("_rid", F.monotonically_increasing_id()), "vector-queries")
     row_blocks = max(1, -(-rows.count() // ROW_BLOCK))
     query_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    deal = lambda n, seed: F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.lit(n))
+    deal = lambda n, seed: F.pmod(F.xxhash64("_rid", F.lit(seed)), F.lit(n))
     copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     size = F.size("v").alias("dims")
     dealt_rows = rows.select("vec_id", "v", size, deal(row_blocks, 3).cast("int").alias("rb"), copies(query_blocks).alias("qb"))

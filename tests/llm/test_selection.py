@@ -103,6 +103,20 @@ def test_topk(spark):
     assert few.count() == 2
 
 
+def test_topk_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROW_BLOCK", 16)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 8)
+    random.seed(5)
+    rows = [(i, [random.randint(-90, 90) for _ in range(6)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = sorted(tuple(r) for r in topk.search(df, df.filter("vec_id % 4 = 0"), 5).collect())
+    want = []
+    for i, v in rows[::4]:
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in rows if j != i)[:5]
+        want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert got == sorted(want)
+
+
 def test_usable_and_quantised(spark):
     rows = [(1, [0.5, -0.001]), (2, [float("nan")]), (3, [float("inf"), 1.0]), (4, None), (5, [None, 1.0]), (6, [])]
     df = spark.createDataFrame(rows, "k int, e array<float>")
