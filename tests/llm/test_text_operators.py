@@ -127,3 +127,18 @@ def test_lines(spark):
 def test_line_normal_forms_agree(col):
     cases = ["Ab-c 12é, Ü x", "  a  b\tc ", "x\x0by", "ÄB"]
     assert col(line_dedup.normalised, cases) == [normal(c) for c in cases]
+
+
+def test_lines_with_few_changes_are_linked(spark):
+    random.seed(12)
+    rows = []
+    for k in range(150):
+        words = ["".join(random.choice("abcdefghiklmnoprstu") for _ in range(random.randint(2, 8))) for _ in range(random.choice([10, 20, 30, 50]))]
+        changed = [*words]
+        changed[random.randrange(len(words))] = "xyzzy"
+        line, other = " ".join(words), " ".join(changed)
+        assert line_dedup.distance(line, other) <= 0.2 * len(line)
+        rows += [(2 * k, line), (2 * k + 1, other)]
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(got[k] for k in range(0, 300, 2))
+    assert sum(got[k] for k in range(1, 300, 2)) >= 142
