@@ -142,3 +142,10 @@ def test_lines_with_few_changes_are_linked(spark):
     got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert not any(got[k] for k in range(0, 300, 2))
     assert sum(got[k] for k in range(1, 300, 2)) >= 142
+
+
+def test_lines_of_few_words(spark):
+    rows = [(1, "重复的句子没有空格也应该去掉\nAll rights reserved."), (2, "重复的句子没有空格也应该去掉\nall rights reserved"), (3, "重复的句子没有空格也应该去除\nall rights reversed"), (4, "另一个完全不同的句子在这里出现")]
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == (rows[0][1], 0) and got[2] == ("", 2) and got[4] == (rows[3][1], 0)
+    assert got[3][0].split("\n")[0] in ("", "重复的句子没有空格也应该去除")
