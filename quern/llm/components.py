@@ -22,7 +22,7 @@ def _star(directed: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) to (node, component) for every node of an edge between two different nodes; the
-    component is its smallest node. Nulls and loops are left out."""
+    component is its smallest node. Nulls and loops are left out. The result is a table."""
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("a is not null and b is not null and u > v").distinct()
     e = table(e, "edges")
     while True:
@@ -37,4 +37,6 @@ def components(edges: DataFrame) -> DataFrame:
         if e.groupBy("u").count().filter("count > 1").isEmpty() and chained.isEmpty():
             break
     roots = e.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    out = table(e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")
+    drop_table(e)
+    return out

@@ -3,8 +3,12 @@
 In each round the members of a bucket are compared with one of them, its leader. What has come to
 the same component by confirmed links needs no further comparison. After ``ROUNDS`` rounds, with
 another leader each, buckets that still hold several components have their members compared across
-components, within the join, by a condition on columns that they carry. So every pair of a bucket
+components, within a join, by a condition on columns that they carry. So every pair of a bucket
 that is alike by that condition is confirmed or already connected.
+
+The last comparison is laid out in cells: a bucket's members are dealt into parts of about ``PART``,
+and each pair of parts is a key of its own, so that no task holds a bucket. Members that all are
+nearly, but not quite, alike cost comparisons, not rows, with the square of their number.
 """
 
 from __future__ import annotations
@@ -15,9 +19,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.components import components
-from quern.session import table
+from quern.session import drop_table, table
 
 ROUNDS = 2
+PART = 256
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, pairs: DataFrame, part: int = PART) -> DataFrame:
+    """The inner join of ``left``, rows of ``pairs`` (a, b) with more columns, with one row a key on
+    the right, which is copied for every ``part`` pairs of its key: they meet it in as many tasks."""
+    many = pairs.groupBy(key).agg(F.ceil(F.count("*") / part).cast("int").alias("_parts")).filter("_parts > 1")
+    salted = left.join(many, key, "left").withColumn("_salt", F.pmod(F.xxhash64("a", "b"), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    copies = right.join(many, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return salted.join(copies, [key, "_salt"]).drop("_salt")
+
+
+def across(rest: DataFrame, key: list[str], carried: list[str], alike: str) -> DataFrame:
+    """Pairs (a, b, na, nb) of a bucket's members in different components ``c`` that are ``alike``."""
+    parts = rest.groupBy(*key).agg(F.ceil(F.count("*") / PART).cast("int").alias("_parts"))
+    dealt = rest.join(parts, key).withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
+    cell = F.explode(F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda j: F.struct(F.least(j, F.col("_part")).alias("low"), F.greatest(j, F.col("_part")).alias("high"))))
+    dealt = dealt.withColumn("_cell", cell).select(*key, F.col("_cell.low").alias("_low"), F.col("_cell.high").alias("_high"), "_part", "id", "n", "c", *carried)
+    other = dealt.select(*key, "_low", "_high", F.col("_part").alias("o_part"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), *(F.col(x).alias(f"o_{x}") for x in carried))
+    pairs = dealt.withColumnsRenamed({"id": "a", "n": "na"}).join(other, [*key, "_low", "_high"])
+    return pairs.filter("c < cb and (_low = _high or _part <> o_part)").filter(alike).select("a", "b", "na", "nb")
 
 
 def links(members: DataFrame, key: list[str], close: str, confirm: Callable[[DataFrame], DataFrame], sketch: Callable[[DataFrame], DataFrame], carried: list[str], alike: str) -> DataFrame | None:
@@ -25,10 +50,9 @@ def links(members: DataFrame, key: list[str], close: str, confirm: Callable[[Dat
     links fulfil. ``confirm``: the linked ones of pairs (a, b). ``sketch``: adds the columns
     ``carried`` to members; ``alike``: a condition on a member's, named as they are, and another
     member's, with ``o_`` before the name; it counts from the first round if members have the columns
-    already. Confirmed links (a, b), or None if there are none."""
-    found: list[DataFrame] = []
+    already. Confirmed links (a, b), as a table, or None if there are none."""
+    found: DataFrame | None = None
     tried: DataFrame | None = None
-    together: DataFrame | None = None
     now = members.withColumn("c", F.col("id"))
     at_once = [x for x in carried if x in members.columns]
     for number in range(ROUNDS + 1):
@@ -40,10 +64,10 @@ def links(members: DataFrame, key: list[str], close: str, confirm: Callable[[Dat
                 pairs = pairs.withColumns({f"o_{x}": F.col(f"lead.{x}") for x in carried}).filter(alike)
             pairs = pairs.select(F.col("id").alias("a"), F.col("lead.id").alias("b"), F.col("n").alias("na"), F.col("lead.n").alias("nb"))
         else:
-            rest = sketch(table(now.join(several.select(*key), key), "buckets-mixed"))
-            other = rest.select(*key, F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), *(F.col(x).alias(f"o_{x}") for x in carried))
-            pairs = rest.select(*key, F.col("id").alias("a"), F.col("n").alias("na"), "c", *carried).join(other, key)
-            pairs = pairs.filter("c < cb").filter(alike).select("a", "b", "na", "nb")
+            rest = table(now.join(several.select(*key), key), "buckets-mixed")
+            if rest.isEmpty():
+                break
+            pairs = across(sketch(rest), key, carried, alike)
         pairs = pairs.filter(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -51,11 +75,11 @@ def links(members: DataFrame, key: list[str], close: str, confirm: Callable[[Dat
         if pairs.isEmpty():
             continue
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found.append(table(confirm(pairs), "links"))
-        together = found[0]
-        for f in found[1:]:
-            together = together.unionByName(f)
+        new = confirm(pairs)
+        before, found = found, table(new if found is None else found.unionByName(new), "links")
+        if before is not None:
+            drop_table(before)
         if number < ROUNDS:
-            comp = components(together).select(F.col("node").alias("id"), "component")
+            comp = components(found).select(F.col("node").alias("id"), "component")
             now = table(members.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"), "buckets-now")
-    return together
+    return found
