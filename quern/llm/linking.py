@@ -1,7 +1,8 @@
 """Links among the members of buckets, without pairing out a bucket.
 
-In each round the members of a bucket are compared with one of them, its leader. What has come to
-the same component by confirmed links needs no further comparison. After ``ROUNDS`` rounds, with
+In each round the members of a bucket are compared with one of them, its leader; in the first round
+each member with one leader only, the same for many of its buckets. What has come to the same
+component by confirmed links needs no further comparison. After ``ROUNDS`` rounds, with
 another leader each, buckets that still hold several components have their members compared across
 components, within a join, by a condition on columns that they carry. So every pair of a bucket
 that is alike by that condition is confirmed or already connected.
@@ -62,7 +63,9 @@ def links(members: DataFrame, key: list[str], close: str, confirm: Callable[[Dat
             pairs = now.join(several.select(*key, "lead"), key).filter("c <> lead.c")
             if at_once:
                 pairs = pairs.withColumns({f"o_{x}": F.col(f"lead.{x}") for x in carried}).filter(alike)
-            pairs = pairs.select(F.col("id").alias("a"), F.col("lead.id").alias("b"), F.col("n").alias("na"), F.col("lead.n").alias("nb"))
+            pairs = pairs.select(F.col("id").alias("a"), F.col("lead.id").alias("b"), F.col("n").alias("na"), F.col("lead.n").alias("nb")).filter(close)
+            if not number:
+                pairs = pairs.groupBy("a", "na").agg(F.min_by(F.struct("b", "nb"), F.struct(F.xxhash64("b", F.lit(number)), "b")).alias("_b")).select("a", "na", "_b.b", "_b.nb")
         else:
             rest = table(now.join(several.select(*key), key), "buckets-mixed")
             if rest.isEmpty():
