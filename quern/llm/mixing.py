@@ -4,14 +4,19 @@ Every document of a source expects the same number of copies, ``target / source_
 expectations are prefix-summed in a fixed order within the source, one offset per source is
 added, and a document is emitted once for each integer that its interval crosses.
 
-The order is by size class, hash bucket, size and hash. A rank in it is the number of rows in
-earlier groups, from a small table with one row per (source, class, bucket), plus a row number
-within the group. Buckets grow in number with the input, so no group is large, however many
-rows one source has.
-
-Defined cases: a null text has size 0; a null source is a source of its own, last in order;
-rows that are equal in id, size and source are interchangeable; an empty input gives an empty
-result; other columns pass through unless they bear one of the result's names.
+The order is by bucket, which is a hash of the whole row, and in a bucket by size, up and down in
+turn, and hash. A rank in it is the number of rows in earlier buckets of the source, from a small
+table with one row per (source, bucket), plus a row number within the bucket. Buckets grow in number
+with the input, so none is large, however many rows one source has. Equal rows have the same hash;
+where a row occurs more than once, its occurrences are first counted by where they were read, and
+numbered within that, so that a row repeated without end does not meet in one task either.
+
+Only sizes, hashes and identities of rows are ranked; whole rows are joined with the result once.
+
+Defined cases: a null text has size 0; a null source is a source of its own, last in order; rows
+without an id, and rows that repeat one, are documents of their own, told apart by their columns;
+equal rows are interchangeable; an empty input gives an empty result; other columns pass through
+under any name unless they bear one of the result's.
 """
 
 from __future__ import annotations
@@ -22,13 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.session import table
+from quern.session import numbered, scope, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 CAP = 2.0
-GROUP_ROWS = 65536
+GROUP_ROWS = 4096
 MADE = ("size", "source_size", "target", "copies", "taken")
+PLACE = ["_file", "_row"]
 
 
 def word_count(text: Column) -> Column:
@@ -56,33 +62,52 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     return t.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, seed: int = 17, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, id_col: str = "doc_id", size: Column | None = None) -> DataFrame:
-    """``docs`` (with ``source`` and ``text``, or an own ``size`` expression) with source_size,
+def _hashed(rows: DataFrame, seed: int) -> DataFrame:
+    """hash: of every column as text, nulls told apart, and the seed."""
+    cells = [F.coalesce(F.concat(F.lit("="), F.col(f"row.`{f.name}`").cast("string")), F.lit("-")) if f.dataType.typeName() not in ("array", "map", "struct", "binary", "variant") else F.coalesce(F.concat(F.lit("="), F.to_json(F.struct(F.col(f"row.`{f.name}`")))), F.lit("-")) for f in rows.schema["row"].dataType.fields]
+    return rows.withColumn("hash", F.md5(F.concat_ws("\x1f", F.lit(str(seed)), *cells)))
+
+
+def mix(docs: DataFrame, seed: int = 17, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, size: Column | None = None) -> DataFrame:
+    """``docs`` (with ``source`` and ``text``, or an own ``size`` expression) with size, source_size,
     target, copies and taken. ``copies`` is 0, 1 or 2 at the default cap."""
     kept = [c for c in docs.columns if c not in MADE]
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    rows = docs.withColumn("size", word_count(F.col("text")) if size is None else size).select(*kept, "size")
-    rows = table(rows, "mix-rows")
-    n = rows.count()
-    buckets = max(1, -(-n // GROUP_ROWS))
-    rows = rows.withColumns({
-        "_h": h,
-        "_class": F.length(F.bin("size")),
-        "_bucket": F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(buckets)),
-        "_null": F.col("source").isNull(),
-        "_source": F.coalesce(F.col("source"), F.lit("")),
-    })
-    key = ["_null", "_source", "_class", "_bucket"]
-    groups = rows.groupBy(*key).agg(F.count("*").alias("_n"), F.sum("size").alias("_words"))
-    source = F.when(~F.col("_null"), F.col("_source")).alias("source")
-    totals = groups.groupBy("_null", "_source").agg(F.sum("_words").cast("long").alias("source_size")).select(source, "source_size")
-    targets = source_targets(totals, weights, share, cap).select(F.col("source").isNull().alias("_null"), F.coalesce("source", F.lit("")).alias("_source"), "source_size", "target")
-    before = Window.partitionBy("_null", "_source").orderBy("_class", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(targets, ["_null", "_source"]).drop("_n", "_words")
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy("size", "_h", id_col)) + F.col("_before")
-    offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.col("_source"))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    sized = docs.select(*(F.col(f"`{c}`") for c in kept), (word_count(F.col("text")) if size is None else size).alias("size"))
+    rows = numbered(sized, "mix-rows")
+    with scope(docs.sparkSession) as s:
+        narrow = _hashed(rows, seed).select(*PLACE, F.col("row.source").alias("source"), F.col("row.size").alias("size"), "hash")
+        narrow = table(narrow, "mix-narrow")
+        decided = s.keep(table(_decided(narrow, seed, weights, share, cap), "mix-copies"))
+    out = rows.join(decided, PLACE)
+    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in kept), F.col("row.size").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("row.size")).alias("taken"))
+
+
+def _decided(rows: DataFrame, seed: int, weights: Sequence[float], share: float, cap: float) -> DataFrame:
+    """(_file, _row, source_size, target, copies) of narrow rows."""
+    number = lambda h, k: F.conv(F.substring(h, k, 8), 16, 10).cast("long")
+    buckets = max(1, -(-rows.count() // GROUP_ROWS))
+    bucket = F.pmod(number(F.col("hash"), 1), F.lit(buckets))
+    rows = rows.withColumns({"null": F.col("source").isNull(), "source": F.coalesce("source", F.lit("")), "bucket": bucket, "sign": F.lit(1) - 2 * F.pmod(bucket, F.lit(2))})
+    again = rows.groupBy("null", "source", "hash").agg(F.count("*").alias("_k")).filter("_k > 1").select("null", "source", "hash", F.lit(1).alias("_again"))
+    rows = rows.join(again, ["null", "source", "hash"], "left")
+    # A part: the rows of a bucket that occur once, or one repeated row as far as one file has it, by thousands.
+    part = F.when(F.col("_again").isNull(), F.lit("")).otherwise(F.concat_ws("/", "hash", "_file", F.floor(F.col("_row") / 1024)))
+    rows = table(rows.withColumn("part", part).drop("_again"), "mix-parts")
+    counts = rows.groupBy("null", "source", "bucket", "part").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    counts = table(counts, "mix-counts")
+    of_buckets = counts.groupBy("null", "source", "bucket").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+    totals = of_buckets.groupBy("null", "source").agg(F.sum("words").cast("long").alias("source_size"))
+    targets = source_targets(totals.select(F.when(~F.col("null"), F.col("source")).alias("source"), "source_size"), weights, share, cap)
+    targets = targets.select(F.col("source").isNull().alias("null"), F.coalesce("source", F.lit("")).alias("source"), "source_size", "target")
+    earlier = lambda *by: Window.partitionBy("null", "source", *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda w: F.coalesce(F.sum("n").over(w), F.lit(0))
+    of_buckets = of_buckets.select("null", "source", "bucket", before(earlier("bucket")).alias("before"))
+    counts = counts.withColumn("inside", before(earlier("bucket", "part"))).join(of_buckets, ["null", "source", "bucket"]).join(targets, ["null", "source"])
+    counts = counts.select("null", "source", "bucket", "part", (F.col("before") + F.col("inside")).alias("before"), "source_size", "target")
+    in_part = Window.partitionBy("null", "source", "bucket", "part").orderBy(F.col("sign") * F.col("size"), "hash", *PLACE)
+    ranked = rows.withColumn("rank", F.row_number().over(in_part)).join(counts, ["null", "source", "bucket", "part"])
+    ranked = ranked.withColumn("rank", F.col("rank") + F.col("before"))
+    offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.col("source"))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    out = rows.join(groups, key).withColumns({"_rank": rank, "_rate": rate, "_u": offset})
-    copies = F.floor(F.col("_rank") * F.col("_rate") + F.col("_u")) - F.floor((F.col("_rank") - 1) * F.col("_rate") + F.col("_u"))
-    out = out.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.select(*kept, *MADE)
+    copies = F.floor(F.col("rank") * rate + offset) - F.floor((F.col("rank") - 1) * rate + offset)
+    return ranked.select(*PLACE, "source_size", "target", copies.cast("long").alias("copies"))

@@ -12,7 +12,9 @@ leaders, and what that leaves across components by sketches of ``SKETCH`` bits (
 least and greatest value under further permutations), in the first bucket that two members share.
 A pair at the wanted similarity falls short of the sketches' bound, five standard deviations below
 what it expects, with probability 3e-7. So no group of copies is paired out. Links are confirmed
-on the full sets of 64-bit shingle hashes.
+on the full sets of 64-bit shingle hashes. Two different shingles of a pair of documents have the
+same hash with a probability under n * m / 2**64 for n and m shingles, and two different sets the
+same two sums with one under 2**-100; nothing else is taken on trust.
 
 Defined cases: a null text, or one without words, has no shingles and no links; one with fewer
 words than a shingle has a single shingle, of all its words; rows without an id get no component
@@ -34,8 +36,8 @@ from pyspark.sql import functions as F
 
 from quern.llm import words as W
 from quern.llm.components import components
-from quern.llm.linking import links
-from quern.session import attach, table
+from quern.llm.linking import links, spread_join
+from quern.session import attach, drop_table, scope, table
 
 WORDS = 5
 SIMILARITY = 80
@@ -154,8 +156,8 @@ def alike(similarity: int, bands: int) -> str:
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= similarity * union."""
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("_a")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("_b")), "b")
+    left = spread_join(pairs, sets.select(F.col("id").alias("a"), F.col("shingles").alias("_a")), "a", pairs)
+    both = spread_join(left, sets.select(F.col("id").alias("b"), F.col("shingles").alias("_b")), "b", pairs)
     common = F.size(F.array_intersect("_a", "_b"))
     union = F.size("_a") + F.size("_b") - common
     return both.filter(100 * common.cast("long") >= similarity * union.cast("long")).select("a", "b")
@@ -164,23 +166,31 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 def groups(docs: DataFrame, k: int = WORDS, similarity: int = SIMILARITY, bands: int = BANDS, per_band: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text)."""
     per_band = per_band or PER_BAND[similarity]
-    made = table(profiles(docs, k, bands, per_band), "min-max")
-    identical = made.filter("n_shingles > 0 and doc_id is not null").groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("id"))
+    with scope(docs.sparkSession) as s:
+        made = s.keep(table(profiles(docs, k, bands, per_band), "min-max"))
+        classes = s.keep(table(_classes(docs, made, k, similarity, bands, per_band), "set-components"))
+    out = made.select("doc_id", "n_shingles", "set1", "set2")
+    alone = out.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    rest = out.filter("n_shingles > 0 and doc_id is not null").join(classes, ["set1", "set2", "n_shingles"], "left")
+    both = alone.unionByName(rest.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
+    return both.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _classes(docs: DataFrame, made: DataFrame, k: int, similarity: int, bands: int, per_band: int) -> DataFrame:
+    """(set1, set2, n_shingles, component) of the classes of several documents or with links."""
+    identical = made.filter("n_shingles > 0 and doc_id is not null").groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("id"), F.count("*").alias("_k"))
     identical = table(identical, "set-classes")
     band = made.join(identical.select("id"), made["doc_id"] == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "value")).distinct()
     band = table(band, "bands")
     shared = band.groupBy("band", "value").agg(F.count("*").alias("_k")).filter("_k > 1").select("band", "value")
     members = table(band.join(shared, ["band", "value"]), "buckets")
+    drop_table(band)
     linked = _links(docs, members, k, similarity, bands, per_band)
-    comp = components(linked) if linked is not None else None
-    out = made.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set1")).alias("set1"), F.when(F.col("n_shingles") > 0, F.col("set2")).alias("set2"))
-    out = out.join(identical, ["set1", "set2", "n_shingles"], "left")
-    if comp is not None:
-        out = out.join(comp.select(F.col("node").alias("id"), "component"), "id", "left")
-    else:
-        out = out.withColumn("component", F.lit(None).cast("long"))
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    if linked is None:
+        return identical.filter("_k > 1").select("set1", "set2", "n_shingles", F.col("id").alias("component"))
+    comp = components(linked).select(F.col("node").alias("id"), "component")
+    joined = identical.join(comp, "id", "left").filter("_k > 1 or component is not null")
+    return joined.select("set1", "set2", "n_shingles", F.coalesce("component", "id").alias("component"))
 
 
 def _links(docs: DataFrame, members: DataFrame, k: int, similarity: int, bands: int, per_band: int) -> DataFrame | None:

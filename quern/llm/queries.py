@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import language, line_dedup, mixing, near_dedup, packing, quality, repeats, secret_scan, topk, url_filter
+from quern.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,7 +61,7 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    sized = docs.select("doc_id", "source", mixing.word_count(docs["text"]).alias("n"))
+    sized = table(docs.select("doc_id", "source", mixing.word_count(docs["text"]).alias("n")), "document-sizes")
     return mixing.mix(sized, size=sized["n"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -125,14 +126,16 @@ reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, s
 least_of AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
 SELECT d.doc_id AS doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN least_of ON x = d.doc_id LEFT JOIN sizes ON sizes.doc_id = d.doc_id""",
     "op7_mixing": r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(concat_ws(':', '17', coalesce(cast(doc_id AS VARCHAR), ''))) AS h FROM documents),
-nb AS (SELECT greatest(1, ceil(count(*) / 65536.0))::BIGINT AS n FROM d),
+WITH n AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+d AS (SELECT *, md5(concat_ws(chr(31), '17', coalesce('=' || doc_id, '-'), coalesce('=' || source, '-'), '=' || size, '=' || size)) AS h FROM n),
+nb AS (SELECT greatest(1, ceil(count(*) / 4096.0))::BIGINT AS n FROM d),
 totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 weighed AS (SELECT *, ([5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w, 2.0::DOUBLE * source_size AS cap FROM totals),
 levels AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - (sum(cap) OVER o - cap)) / (sum(w) OVER () - (sum(w) OVER o - w)) AS level FROM weighed WINDOW o AS (ORDER BY cap / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
 lowest AS (SELECT arg_min(level, cap / w) AS level FROM levels WHERE level * w < cap),
 targets AS (SELECT source, source_size, CASE WHEN lowest.level IS NULL THEN cap ELSE least(cap, lowest.level * w) END AS target FROM levels, lowest),
-ranked AS (SELECT d.*, row_number() OVER (PARTITION BY source ORDER BY length(bin(size)), ('0x' || substr(h, 1, 8))::BIGINT % n, size, h, doc_id) AS k FROM d, nb),
+dealt AS (SELECT d.*, ('0x' || substr(h, 1, 8))::BIGINT % n AS b, CASE WHEN count(*) OVER (PARTITION BY source, h) > 1 THEN h ELSE '' END AS part FROM d, nb),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY b, part, (1 - 2 * (b % 2)) * size, h) AS k FROM dealt),
 rated AS (SELECT doc_id, size, source_size, target, k, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS r, ('0x' || substr(md5('17/' || coalesce(t.source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
   FROM ranked JOIN targets t ON ranked.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, ((floor(k * r + u) - floor((k - 1) * r + u)) * size)::BIGINT AS taken FROM rated""",
