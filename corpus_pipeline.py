@@ -11,11 +11,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from quern.llm import language, line_dedup, mixing, near_dedup, packing
+from quern.llm import bloom, language, line_dedup, mixing, near_dedup, packing
 from quern.llm.queries import byte_bpe
-from quern.session import table
+from quern.session import drop_table, scope, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -23,39 +22,57 @@ SURE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: those that are ``und``, or whose score is under SURE, go."""
+    """Documents in a language: those that are ``und``, or whose score is under SURE, go, as do null
+    and empty texts. Equal rows get equal answers; null ids, sources and labels are kept as they are.
+    Here as in all stages but the last columns other than ``COLUMNS`` are dropped, and an empty
+    table gives an empty one."""
     model = language.fit(docs.filter(~language.held_out(docs["doc_id"])))
     found = language.identify(docs.select(*COLUMNS), model)
     return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= SURE)).select(*COLUMNS)
 
 
 def fuzzy_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less their repeated lines; n_chars is that of the text left."""
+    """Documents less their repeated lines; n_chars is that of the text left, null for a null text.
+    Every document stays, also one that has no line left."""
     out = line_dedup.dedup_lines(docs.select(*COLUMNS))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of the smallest id. Rows that repeat an
-    id are one document, of which the first text in order stays; rows without an id all stay."""
-    gone = near_dedup.groups(docs).filter("doc_id is not null and not kept").select("doc_id").distinct()
-    left = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    id are one document, of which the row first in order of text, source, language and length stays;
+    rows without an id all stay. Only rows whose ids are among those to go are shuffled."""
+    with scope(spark) as s:
+        gone = near_dedup.groups(docs).filter("doc_id is not null and not kept").select("doc_id").distinct()
+        gone = s.keep(table(gone, "near-duplicates"))
+    left = without(docs.select(*COLUMNS), gone)
     again = left.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    again = table(again, "ids-repeated")
     if again.isEmpty():
         return left
-    order = Window.partitionBy("doc_id").orderBy("text", "source", "lang", "n_chars")
-    one = left.join(again, "doc_id", "left_semi").withColumn("_k", F.row_number().over(order)).filter("_k = 1")
-    return left.join(again, "doc_id", "left_anti").select(*COLUMNS).unionByName(one.select(*COLUMNS))
+    row = F.struct("text", "source", "lang", "n_chars")
+    one = left.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("_row")).select("doc_id", "_row.*")
+    return without(left, again).unionByName(one.select(*COLUMNS))
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is not among the ids, a table; a Bloom filter spares most the join."""
+    blocks = bloom.size(ids.count())
+    marked = bloom.probe(docs, "doc_id", bloom.build(ids, "doc_id", blocks) if blocks else None, blocks)
+    some = marked.filter("_possible").select(*COLUMNS).join(ids, "doc_id", "left_anti").select(*COLUMNS)
+    return some.unionByName(marked.filter("not _possible").select(*COLUMNS))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, none, once or twice."""
+    """Documents as often as the mix takes them, none, once or twice. A null source is a source; a
+    null text has size 0; equal rows are documents of their own."""
     mixed = mixing.mix(docs.select(*COLUMNS)).filter("copies > 0")
     return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences; see quern.llm.packing."""
+    """Pieces of token sequences; see quern.llm.packing. A null text counts as empty and has the end
+    token only; rows without an id have pieces without one; repeated rows are packed each."""
     return packing.pack(docs, byte_bpe())
 
 
@@ -66,14 +83,15 @@ STAGES: list[tuple[str, Stage]] = [
     ("mixing", mixture),
     ("packing", packed),
 ]
-#: Language scores, SimHashes and token ids are not expressible in SQL.
+#: Language scores, line groups and token ids are not expressible in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = table(docs, f"pipeline-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        before = docs
+        with scope(spark) as s:
+            docs = s.keep(table(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        drop_table(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
