@@ -37,7 +37,7 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, pairs: DataFrame, p
 
 def across(rest: DataFrame, key: list[str], carried: list[str], alike: str) -> DataFrame:
     """Pairs (a, b, na, nb) of a bucket's members in different components ``c`` that are ``alike``."""
-    parts = rest.groupBy(*key).agg(F.ceil(F.count("*") / PART).cast("int").alias("_parts"))
+    parts = table(rest.groupBy(*key).agg(F.ceil(F.count("*") / PART).cast("int").alias("_parts")), "bucket-parts")
     dealt = rest.join(parts, key).withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
     cell = F.explode(F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda j: F.struct(F.least(j, F.col("_part")).alias("low"), F.greatest(j, F.col("_part")).alias("high"))))
     dealt = dealt.withColumn("_cell", cell).select(*key, F.col("_cell.low").alias("_low"), F.col("_cell.high").alias("_high"), "_part", "id", "n", "c", *carried)
@@ -59,6 +59,7 @@ def links(members: DataFrame, key: list[str], close: str, confirm: Callable[[Dat
     for number in range(ROUNDS + 1):
         lead = F.min_by(F.struct("id", "n", "c", *at_once), F.struct(F.xxhash64("id", F.lit(number)), F.col("id")))
         several = now.groupBy(*key).agg(F.min("c").alias("_least"), F.max("c").alias("_most"), lead.alias("lead")).filter("_least < _most")
+        several = table(several, "buckets-led")  # a table: Spark splits a hot key only in a join of plain shuffles
         if number < ROUNDS:
             pairs = now.join(several.select(*key, "lead"), key).filter("c <> lead.c")
             if at_once:

@@ -89,7 +89,7 @@ def _decided(rows: DataFrame, seed: int, weights: Sequence[float], share: float,
     bucket = F.pmod(number(F.col("hash"), 1), F.lit(buckets))
     rows = rows.withColumns({"null": F.col("source").isNull(), "source": F.coalesce("source", F.lit("")), "bucket": bucket, "sign": F.lit(1) - 2 * F.pmod(bucket, F.lit(2))})
     again = rows.groupBy("null", "source", "hash").agg(F.count("*").alias("_k")).filter("_k > 1").select("null", "source", "hash", F.lit(1).alias("_again"))
-    rows = rows.join(again, ["null", "source", "hash"], "left")
+    rows = rows.join(table(again, "mix-repeated"), ["null", "source", "hash"], "left")
     # A part: the rows of a bucket that occur once, or one repeated row as far as one file has it, by thousands.
     part = F.when(F.col("_again").isNull(), F.lit("")).otherwise(F.concat_ws("/", "hash", "_file", F.floor(F.col("_row") / 1024)))
     rows = table(rows.withColumn("part", part).drop("_again"), "mix-parts")

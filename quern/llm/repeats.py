@@ -4,17 +4,18 @@ starts anywhere else in the corpus, same document included.
 1. Of the 101 grams of 100 bytes in each window of 200 bytes, the one with the least hash is the
    window's anchor, the first if several have it; equal windows have the same anchor at the same
    place. A corpus has one anchor in about fifty bytes.
-2. Anchors are counted by gram, partly before the shuffle, along with the least and the greatest
-   hash of the 300 bytes around them. A gram that occurs once repeats no window. One whose
-   surroundings are all equal repeats all windows of each anchor, and so do anchors of other grams
-   whose surroundings occur twice; of these one anchor stands for all in the next step.
-3. What is left is settled by sorted suffixes: the surroundings of a gram's anchors are sorted by
-   what follows the anchor and by what precedes it; from the common lengths of neighbours come the
-   classes of equal continuations of any length, and a window of ``l`` bytes before and ``200 - l``
-   behind the anchor repeats if two anchors share both classes. The windows of an anchor all contain
-   its gram, so the covered bytes run from the earliest repeated window's start to the latest
-   one's end. Grams with more than ``SORTED`` anchors are settled by counting the hashes of
-   their windows instead, spread over all tasks, with the same results.
+2. Anchors are written once and counted by gram. A gram that occurs once repeats no window. Anchors
+   of a gram whose surroundings, the up to 300 bytes around, are the same are one kind, by a
+   cryptographic digest (BLAKE2b, 128 bits) of the bytes themselves: all windows of a kind that
+   occurs twice repeat. No decision rests on a polynomial hash.
+3. One anchor of each kind, of grams that have several, goes to the sorted suffixes: the
+   surroundings of a gram's kinds are sorted by what follows the anchor and by what precedes it;
+   from the common lengths of neighbours, verified on the bytes, come the classes of equal
+   continuations of any length, and a window of ``l`` bytes before and ``200 - l`` behind the anchor
+   repeats if two kinds share both classes. The windows of an anchor all contain its gram, so the
+   covered bytes run from the earliest repeated window's start to the latest one's end. A gram of
+   more than ``SORTED`` kinds would not fit a task: its windows are counted by their digests, spread
+   over all tasks, with the same results.
 4. Covered runs are merged by document and cut out.
 
 Only anchors and surroundings are shuffled, and texts that have a repeated gram; a Bloom filter of
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from quern.llm import bloom
 from quern.llm import words as W
 from quern.llm.suffix_sort import Suffixes
-from quern.session import attach, table
+from quern.session import attach, drop_table, scope, table
 
 LENGTH = 200
 GRAM = 100
@@ -48,12 +49,17 @@ CHUNK = 20_000
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def digests(parts: list[bytes]) -> np.ndarray:
+    """128 bits of each, as two numbers."""
+    return np.frombuffer(b"".join(hashlib.blake2b(p, digest_size=16).digest() for p in parts), np.int64).reshape(-1, 2)
+
+
 def anchors(b: W.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block: the anchors' places, texts, gram hashes and hashes of their surroundings."""
+    """Of a block: the anchors' places, texts, gram hashes and digests of their surroundings."""
     size = len(b.data)
     none = np.empty(0, np.int64)
     if size < LENGTH:
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none.astype(np.uint64), none.reshape(0, 2)
     c = W.prefix_hashes(b.data)
     m = size - GRAM + 1
     down = W.powers(len(c), "down")
@@ -74,9 +80,9 @@ def anchors(b: W.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     place = np.flatnonzero(chosen)
     text = np.searchsorted(b.bounds, place, "right") - 1
     begin, end = np.maximum(place - LEAD, b.bounds[text]), np.minimum(place + LENGTH, b.bounds[text + 1])
-    around = (c[end] - c[begin]) * down[begin]
-    shape = ((place - begin) * 1024 + (end - begin)).astype(np.uint64)
-    return place, text, gram[place], W.mix64(around ^ W.mix64(shape))
+    raw = b.data.tobytes()
+    around = digests([raw[x:y] + bytes((p - x,)) for x, y, p in zip(begin.tolist(), end.tolist(), place.tolist(), strict=True)])
+    return place, text, gram[place], around
 
 
 def anchor_rows(texts: DataFrame) -> DataFrame:
@@ -85,10 +91,10 @@ def anchor_rows(texts: DataFrame) -> DataFrame:
             ids = batch.column(0).to_numpy()
             for b in W.blocks(batch.column(1)):
                 place, text, gram, around = anchors(b)
-                columns = [gram.view(np.int64), around.view(np.int64), ids[b.first + text] if len(text) else np.empty(0, np.int64), (place - b.bounds[text]).astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["gram", "around", "rid", "place"])
+                columns = [gram.view(np.int64), *np.ascontiguousarray(around.T), ids[b.first + text] if len(text) else np.empty(0, np.int64), (place - b.bounds[text]).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["gram", "around1", "around2", "rid", "place"])
 
-    return texts.select("rid", "text").mapInArrow(run, "gram long, around long, rid long, place long")
+    return texts.select("rid", "text").mapInArrow(run, "gram long, around1 long, around2 long, rid long, place long")
 
 
 def surroundings(wanted: DataFrame) -> DataFrame:
@@ -174,7 +180,7 @@ def sorted_spans(rows: DataFrame) -> DataFrame:
 
 
 def counted_spans(rows: DataFrame) -> DataFrame:
-    """The same for grams with very many anchors: every window's hashes, counted."""
+    """The same for grams of very many kinds: every window's digest, counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,16 +192,16 @@ def counted_spans(rows: DataFrame) -> DataFrame:
             n = np.maximum(0, np.diff(bounds) - LENGTH + 1)
             row = np.repeat(np.arange(len(batch)), n)
             offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            start = bounds[row] + offset
-            c = W.prefix_hashes(data)
-            h = W.span_hashes(c, start, start + LENGTH) if len(row) else np.empty(0, np.uint64)
+            raw_bytes = data.tobytes()
+            h = digests([raw_bytes[x : x + LENGTH] for x in (bounds[row] + offset).tolist()])
             place = batch.column(2).to_numpy()[row]
-            columns = [W.mix64(h).view(np.int64), W.mix64(h ^ np.uint64(0x5DEECE66D5DEECE6)).view(np.int64), batch.column(1).to_numpy()[row], place - lead[row] + offset]
+            columns = [*np.ascontiguousarray(h.T), batch.column(1).to_numpy()[row], place - lead[row] + offset]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["h1", "h2", "rid", "start"])
 
     windows = rows.select("gram", "rid", "place", "lead", "bytes").mapInArrow(run, "h1 long, h2 long, rid long, start long")
     windows = windows.select("h1", "h2", "rid", "start").distinct()
-    twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("_n")).filter("_n > 1").select("h1", "h2")
+    windows = table(windows, "windows")
+    twice = table(windows.groupBy("h1", "h2").agg(F.count("*").alias("_n")).filter("_n > 1").select("h1", "h2"), "windows-repeated")
     return windows.join(twice, ["h1", "h2"]).select("rid", "start", (F.col("start") + LENGTH).alias("end"))
 
 
@@ -227,43 +233,44 @@ def cut(joined: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
 
 
-def _only(texts: DataFrame, rids: DataFrame, rest: bool = False) -> DataFrame:
-    """The texts that may be among the rids, or all, with ``_possible``."""
-    blocks = bloom.size(rids.count())
-    marked = bloom.probe(texts, "rid", table(bloom.build(rids, "rid", blocks), "texts-wanted"), blocks)
-    return marked if rest else marked.filter("_possible")
+def _marked(texts: DataFrame, rids: DataFrame, n: int) -> DataFrame:
+    """The texts with ``_possible``, whether they may be among the n rids."""
+    blocks = bloom.size(n)
+    return bloom.probe(texts, "rid", table(bloom.build(rids, "rid", blocks), "texts-wanted") if blocks else None, blocks)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_bytes for each row (doc_id, text)."""
     attach(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("rid", F.monotonically_increasing_id())
-    texts = table(texts, "texts", compression="zstd")
-    found = anchor_rows(texts)
-    grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("around").alias("_least"), F.max("around").alias("_most")).filter("n > 1")
-    grams = table(grams.select("gram", "n", (F.col("_least") == F.col("_most")).alias("equal")), "repeated-grams")
-    blocks = bloom.size(grams.count())
-    hits = bloom.probe(found, "gram", bloom.build(grams, "gram", blocks), blocks).filter("_possible").drop("_possible")
-    hits = table(hits.join(grams, "gram"), "repeated-anchors")
-    at = F.struct("rid", "place")
-    kinds = hits.filter("not equal").groupBy("gram", "around").agg(F.count("*").alias("_k"), F.min(at).alias("_first"))
-    open_ = table(hits.filter("not equal").join(kinds, ["gram", "around"]).select("gram", "rid", "place", (F.col("_k") > 1).alias("equal"), (at == F.col("_first")).alias("stands")), "open-anchors")
-
-    wanted = open_.filter("stands").groupBy("rid").agg(F.collect_list(F.struct("gram", "place")).alias("at"))
-    around = surroundings(_only(texts, open_.filter("stands").select("rid").distinct()).join(wanted, "rid").select("rid", "text", "at"))
-    many = grams.filter(f"n > {SORTED}").select("gram")
-    if not many.isEmpty():
-        around = table(around, "surroundings", compression="zstd")
-        spans = sorted_spans(around.join(many, "gram", "left_anti")).unionByName(counted_spans(around.join(many, "gram", "left_semi")))
-    else:
-        spans = sorted_spans(around)
-    lead = F.least(F.lit(LEAD), F.col("place"))
-    whole = hits.filter("equal").select("rid", "place").unionByName(open_.filter("equal").select("rid", "place"))
-    whole = whole.select("rid", (F.col("place") - lead).alias("start"), (F.col("place") + LENGTH).alias("end"))
-    runs = spans.unionByName(whole).groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    runs = table(runs, "spans")
-    texts = _only(texts, runs.select("rid"), rest=True)
+    with scope(docs.sparkSession) as s:
+        texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("rid", F.monotonically_increasing_id())
+        texts = s.keep(table(texts, "texts", compression="zstd"))
+        runs = s.keep(table(_spans(texts).groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans"))
+        blocks = bloom.size(runs.count())
+        bits = s.keep(table(bloom.build(runs, "rid", blocks), "texts-cut")) if blocks else None
+    texts = bloom.probe(texts, "rid", bits, blocks)
     removed = cut(texts.filter("_possible").join(runs, "rid", "left").select("doc_id", "text", "spans"))
     raw = F.encode(F.col("text"), "UTF-8")
     rest = texts.filter("not _possible").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256"), raw.alias("kept_bytes"))
     return removed.unionByName(rest)
+
+
+def _spans(texts: DataFrame) -> DataFrame:
+    """Covered spans (rid, start, end), which may overlap."""
+    kind = ["gram", "around1", "around2"]
+    found = table(anchor_rows(texts), "anchors")
+    grams = table(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "repeated-grams")
+    hits = table(bloom.filtered(found, "gram", grams, grams.count()).join(grams, "gram"), "repeated-anchors")
+    drop_table(found)
+    kinds = table(hits.groupBy(*kind).agg(F.count("*").alias("k"), F.min(F.struct("rid", "place")).alias("first")), "anchor-kinds")
+    whole = hits.join(kinds.filter("k > 1").select(*kind), kind).select("rid", "place")
+    whole = whole.select("rid", (F.col("place") - F.least(F.lit(LEAD), F.col("place"))).alias("start"), (F.col("place") + LENGTH).alias("end"))
+    several = table(kinds.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "grams-of-kinds")
+    open_ = table(kinds.join(several, "gram").select("gram", "n", "first.rid", "first.place"), "open-anchors")
+    wanted = table(open_.groupBy("rid").agg(F.collect_list(F.struct("gram", "place")).alias("at")), "texts-with-anchors")
+    around = surroundings(_marked(texts, wanted, wanted.count()).filter("_possible").join(wanted, "rid").select("rid", "text", "at"))
+    many = several.filter(f"n > {SORTED}").select("gram")
+    if many.isEmpty():
+        return sorted_spans(around).unionByName(whole)
+    around = table(around, "surroundings", compression="zstd")
+    return sorted_spans(around.join(many, "gram", "left_anti")).unionByName(counted_spans(around.join(many, "gram", "left_semi"))).unionByName(whole)

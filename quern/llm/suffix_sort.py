@@ -5,7 +5,8 @@ far as each may look. Two places are compared by the length they have in common,
 search over prefix polynomial hashes, and the byte behind it: a logarithmic number of steps for
 any length. Places come in groups; each group is merge-sorted, all groups at once: on each level
 every place finds its rank in the sibling run by binary search. Common lengths of neighbours are
-then verified on the bytes themselves, so that a hash collision can't lengthen them.
+then verified on the bytes themselves, so that a hash collision can't lengthen them; a group in which
+one shows is sorted anew by its bytes.
 """
 
 from __future__ import annotations
@@ -84,12 +85,26 @@ class Suffixes:
         inner[first[:-1][np.diff(first) > 0]] = False
         at = np.flatnonzero(inner)
         if len(at):
-            shared[at] = self._verified(order[at - 1], order[at])
+            hashed = self.common(order[at - 1], order[at])
+            shared[at] = self._verified(order[at - 1], order[at], hashed)
+            for g in np.unique(group[at[shared[at] != hashed]]).tolist():
+                self._exactly(order, shared, int(first[g]), int(first[g + 1]))
         return order, shared
 
-    def _verified(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Common lengths on the bytes, for the lengths that the hashes give."""
-        n = self.common(i, j)
+    def _bytes(self, i: int) -> bytes:
+        p, n = int(self.place[i]), int(self.reach[i])
+        return self.data[p - n : p].tobytes()[::-1] if self.backward else self.data[p : p + n].tobytes()
+
+    def _exactly(self, order: np.ndarray, shared: np.ndarray, begin: int, end: int) -> None:
+        """Sort a group anew by the bytes: equal hashes of different bytes have misled the sort."""
+        text = {i: self._bytes(i) for i in order[begin:end].tolist()}
+        order[begin:end] = sorted(text, key=text.__getitem__)
+        for k in range(begin + 1, end):
+            a, b = text[order[k - 1]], text[order[k]]
+            shared[k] = next((j for j, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+    def _verified(self, i: np.ndarray, j: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Common lengths on the bytes, for the lengths n that the hashes give."""
         out = n.copy()
         for k in range(0, len(i), 8192):
             part = slice(k, k + 8192)

@@ -3,8 +3,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from quern.llm import repeats
+from quern.llm import words as W
 from quern.llm.suffix_sort import Suffixes
 
 
@@ -80,3 +82,30 @@ def test_suffix_sort():
             for x, y, n in zip(part, part[1:], shared[a + 1 : b].tolist(), strict=False):
                 p, q = key(x), key(y)
                 assert n == next((k for k in range(min(len(p), len(q))) if p[k] != q[k]), min(len(p), len(q)))
+
+
+def test_forced_hash_collisions(monkeypatch):
+    """With a polynomial hash that can't tell letters apart nothing is found that the bytes don't have."""
+    monkeypatch.setattr(W, "BYTE", np.full(256, W.BYTE[0]))
+    random.seed(6)
+    lead = "".join(random.choice("ab") for _ in range(100))
+    texts = [lead + x * 200 for x in "abbcab"] + [lead[:-1] + "c" + "a" * 200]
+    block = next(W.blocks(pa.array(texts)))
+    _, text, gram, around = repeats.anchors(block)
+    assert len(set(gram.tolist())) == 1
+    kinds = {i: {tuple(x) for x in around[text == i].tolist()} for i in range(7)}
+    assert kinds[0] == kinds[4] and kinds[1] == kinds[2] == kinds[5] and not kinds[0] & kinds[1] and not kinds[0] & kinds[6]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    bounds, reach = np.arange(8) * 300, np.full(7, 100)
+    most, least = repeats.repeated_windows(data, bounds, reach, np.array([0, 7]))
+    want = []
+    for t in texts:
+        own = [b for b in range(101) if sum(u[100 - b : 300 - b] == t[100 - b : 300 - b] for u in texts) > 1]
+        want.append((max(own, default=-1), min(own, default=101)))
+    assert [*zip(most.tolist(), least.tolist(), strict=True)] == want
+
+
+def test_rows_that_repeat_and_names(spark):
+    df = spark.createDataFrame([(1, "w" * 300, 5, 6), (1, "w" * 300, 5, 6), (None, "q" * 250, 1, 1)], "doc_id long, text string, rid int, spans int")
+    got = sorted((tuple(r) for r in repeats.remove_repeats(df).select("doc_id", "n_bytes", "n_removed").collect()), key=str)
+    assert got == [(1, 300, 300), (1, 300, 300), (None, 250, 250)]
