@@ -5,11 +5,12 @@ n-grams (n from 4 to 1, with word edges) of all its training words. A known word
 word scores. An unseen one counts with the mean scores of its known 4-grams; if it has none, of
 its 3-grams, and so on; if it has no known n-gram at all it counts for no language.
 
-The model is fitted on at most about ``MAX_ROWS`` labelled rows, drawn by hash (``max_rows``); at
-most ``MAX_WORDS`` words and ``MAX_GRAMS`` n-grams of each length and language are kept, so that
-its size does not depend on the corpus. Prediction reads whole texts.
+The model is fitted on at most about ``MAX_ROWS`` labelled rows, drawn by hash, an equal share of
+each language (``max_rows``); of a language at most ``MAX_WORDS`` words and ``MAX_GRAMS`` n-grams of
+each length are kept, the most frequent (``max_words``, ``max_grams``), so that its size does not
+depend on the corpus: one row of numbers for each of them. Prediction reads whole texts.
 
-Words are maximal runs of letters in lower case. Only the text is used to predict.
+Words are maximal runs of letters, with the marks on them, in lower case. Only the text is used to predict.
 
 Defined cases: a null text, or one with no letter, is ``und`` with score 0; ties go to the
 language first in order; without any training rows everything is ``und``; rows without an id
@@ -18,10 +19,10 @@ are predicted but never learnt from; equal rows get equal answers.
 
 from __future__ import annotations
 
-import math
 import re
+import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.session import attach, table
+from quern.session import attach, scope, table
 
 MAX_ROWS = 20_000
 MAX_WORDS = 20_000
@@ -40,14 +41,31 @@ SURE_WORDS = 12
 REMEMBERED = 200_000
 UNKNOWN = "und"
 
+
+def _ranges(codes: Iterable[int]) -> list[tuple[int, int]]:
+    found: list[tuple[int, int]] = []
+    for k in codes:
+        if found and k == found[-1][1] + 1:
+            found[-1] = (found[-1][0], k)
+        else:
+            found.append((k, k))
+    return found
+
+
 _WORD = re.compile(r"[^\W\d_]+")
+#: Combining marks, which belong to the word they stand in: Devanagari, Thai and others write vowels so.
+_MARKS = "".join(f"{chr(a)}-{chr(b)}" for a, b in _ranges(k for k in range(0x300, 0x1F000) if unicodedata.category(chr(k)).startswith("M")))
+_MARK = re.compile(f"[{_MARKS}]")
+_MARKED_WORD = re.compile(rf"(?:[^\W\d_][{_MARKS}]*)+")
 
 
 def words(text: str | None) -> list[str]:
-    """Runs of letters; numerals that aren't letters separate as digits do."""
+    """Runs of letters with their marks; numerals that aren't letters separate as digits do."""
     if not text:
         return []
-    return [w for w in _WORD.findall(text.lower()) if w[0].isalpha() or any(c.isalpha() for c in w)]
+    low = text.lower()
+    found = (_MARKED_WORD if not low.isascii() and _MARK.search(low) else _WORD).findall(low)
+    return [w for w in found if w[0].isalpha() or any(c.isalpha() for c in w)]
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -62,22 +80,28 @@ class Model:
         """counts: (language, length or 0 for words, word or n-gram, number); totals by language and length."""
         self.languages = sorted({c[0] for c in counts})
         place = {x: k for k, x in enumerate(self.languages)}
-        self.tables: dict[int, dict[str, np.ndarray]] = {n: {} for n in range(LONGEST + 1)}
-        sizes = Counter(n for _, n, _, _ in {(None, n, g, None) for _, n, g, _ in counts})
+        self.tables: dict[int, dict[str, int]] = {n: {} for n in range(LONGEST + 1)}
         seen: dict[tuple[int, str], dict[int, int]] = {}
         for lang, n, g, k in counts:
             seen.setdefault((n, g), {})[place[lang]] = k
-        for (n, g), by in seen.items():
-            self.tables[n][g] = np.array([math.log((by.get(k, 0) + 0.5) / (totals.get((x, n), 0) + 0.5 * sizes[n] + 0.5)) for x, k in place.items()], np.float32)
+        sizes = Counter(n for n, _ in seen)
+        floor = {n: np.array([totals.get((x, n), 0) + 0.5 * sizes[n] + 0.5 for x in self.languages]) for n in self.tables}
+        self.rows = np.empty((len(seen), len(self.languages)), np.float32)
+        for at, ((n, g), by) in enumerate(seen.items()):
+            row = np.full(len(self.languages), 0.5)
+            row[list(by)] += list(by.values())
+            self.rows[at] = np.log(row / floor[n])
+            self.tables[n][g] = at
 
     def score(self, word: str) -> np.ndarray:
         known = self.tables[0].get(word)
         if known is not None:
-            return known
+            return self.rows[known]
         for n in range(LONGEST, 0, -1):
-            found = [row for g in grams(word, n) if (row := self.tables[n].get(g)) is not None]
+            table_ = self.tables[n]
+            found = [at for g in grams(word, n) if (at := table_.get(g)) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return self.rows[found].mean(axis=0)
         return np.zeros(len(self.languages), np.float32)
 
 
@@ -109,14 +133,25 @@ class Scorer(dict):
         return self.model.languages[best], float(odds[best] / odds.sum())
 
 
-def fit(rows: DataFrame, label: str = "lang", max_rows: int = MAX_ROWS, id_col: str = "doc_id") -> Model:
-    """A model of the rows' ``text`` and label. Rows with a null text, label or id are left out."""
+def fit(rows: DataFrame, label: str = "lang", max_rows: int = MAX_ROWS, id_col: str = "doc_id", max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
+    """A model of the rows' ``text`` and label, on at most about ``max_rows`` rows, as many of each
+    language as there are or as its equal share allows. Rows with a null text, label or id are left
+    out. ``max_words`` and ``max_grams``: of each language and length, those are kept that are more
+    frequent than the cutoff at which that many would be left."""
+    with scope(rows.sparkSession):
+        return _fit(rows, label, max_rows, id_col, max_words, max_grams)
+
+
+def _fit(rows: DataFrame, label: str, max_rows: int, id_col: str, max_words: int, max_grams: int) -> Model:
     spark = rows.sparkSession
     attach(spark)
     use = rows.filter(F.col(label).isNotNull() & F.col("text").isNotNull() & F.col(id_col).isNotNull())
-    n = use.count()
-    if n > max_rows:
-        use = use.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.lit(1 << 30)) < int(max_rows / n * (1 << 30)))
+    use = use.select(F.col(label).cast("string").alias("lang"), "text", F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.lit(1 << 30)).alias("draw"))
+    labelled = {r["lang"]: r["n"] for r in use.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if sum(labelled.values()) > max_rows:
+        share = max_rows / len(labelled)
+        below = spark.createDataFrame([(lang, min(1 << 30, int(share / n * (1 << 30)))) for lang, n in labelled.items()], "lang string, below long")
+        use = use.join(F.broadcast(below), "lang").filter("draw < below")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,11 +166,15 @@ def fit(rows: DataFrame, label: str = "lang", max_rows: int = MAX_ROWS, id_col:
                             out[m, g] += k
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(out), pa.string()), pa.array([m for m, _ in out], pa.int32()), pa.array([g for _, g in out], pa.string()), pa.array(list(out.values()), pa.int64())], names=["lang", "n", "gram", "k"])
 
-    counts = use.select(F.col(label).cast("string"), "text").mapInArrow(run, "lang string, n int, gram string, k long").groupBy("lang", "n", "gram").agg(F.sum("k").alias("k"))
+    counts = use.select("lang", "text").mapInArrow(run, "lang string, n int, gram string, k long").groupBy("lang", "n", "gram").agg(F.sum("k").alias("k"))
     counts = table(counts, "language-counts")
     totals = {(r["lang"], r["n"]): r["k"] for r in counts.groupBy("lang", "n").agg(F.sum("k").alias("k")).collect()}
-    most = F.when(F.col("n") == 0, F.lit(MAX_WORDS)).otherwise(F.lit(MAX_GRAMS))
-    top = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("k"), "gram"))).filter(F.col("place") <= most)
+    # How many have each frequency, from the highest down: one row for each frequency that occurs.
+    down = counts.groupBy("lang", "n", "k").agg(F.count("*").alias("many"))
+    down = down.withColumn("kept", F.sum("many").over(Window.partitionBy("lang", "n").orderBy(F.desc("k"))))
+    most = F.when(F.col("n") == 0, F.lit(max_words)).otherwise(F.lit(max_grams))
+    least = down.filter(F.col("kept") <= most).groupBy("lang", "n").agg(F.min("k").alias("least"))
+    top = counts.join(F.broadcast(least), ["lang", "n"]).filter("k >= least")
     return Model([(r["lang"], r["n"], r["gram"], r["k"]) for r in top.select("lang", "n", "gram", "k").collect()], totals)
 
 

@@ -1,12 +1,15 @@
 """Quality rules whose cutoffs are risk-controlled.
 
 Every rule rejects a document whose feature exceeds a cutoff. Cutoffs come from labelled holdout
-documents: for each rule and stratum the lowest cutoff of a fixed grid is taken at which the exact
-(Clopper-Pearson) upper bound of the share of good documents it rejects stays within ``risk``. The
-bounds hold together with probability ``confidence``: the error is divided by the number of all
-bounds computed (strata x rules x cutoffs, Bonferroni), and the allowed risk by the number of
-rules, so that what all rules together reject wrongly stays within ``risk`` in every stratum. Where
-the labels do not suffice to prove any cutoff, that rule rejects nothing in that stratum.
+documents. ``LEVELS`` levels of strictness are fixed beforehand: at level 0 each rule has its mildest
+cutoff, at the last its strictest, in equal steps. In each stratum the levels are tested from 0 on,
+each by whether the exact (Clopper-Pearson) upper bound of the share of good documents that all its
+rules together reject stays within ``risk``, until one fails; the last that passed is taken. Tests in
+a fixed order need no correction for their number, as none is made after a failure; over the strata
+the error, 1 - ``confidence``, is divided (Bonferroni). So in all strata at once the false rejections
+stay within ``risk`` with probability ``confidence``. Where the labels do not suffice to prove level
+0, the rules reject nothing in that stratum. Strata of under ``MIN_LABELS`` good documents can prove
+nothing and are not tested, so that stray values of the stratum cost the others no power.
 
 Features are computed in one pass over the bytes of each text. Repeated words are found by 64-bit
 hashes of five-word windows within the text.
@@ -27,18 +30,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import words as W
-from quern.session import attach, table
+from quern.session import attach, scope, table
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 REPEAT = 5
 RISK = 0.02
 CONFIDENCE = 0.95
-#: Rules in thousandths, each with its grid of cutoffs, from the strictest.
+#: With fewer good documents even none rejected proves no bound of ``RISK``: 0.98 ** 148 > 0.05.
+MIN_LABELS = 148
+LEVELS = 20
+#: Rules in thousandths, each with its mildest and its strictest cutoff.
 RULES = {
-    "symbols_per_word": ("n_symbols", "n_words", tuple(range(50, 1001, 50))),
-    "dup_line_share": ("n_dup_lines", "n_lines", tuple(range(100, 1000, 50))),
-    "repeat_share": ("n_repeat_words", "n_words", tuple(range(50, 201, 10))),
-    "word_length": ("word_chars", "n_words", tuple(range(6000, 20001, 500))),
+    "symbols_per_word": ("n_symbols", "n_words", 1000, 50),
+    "dup_line_share": ("n_dup_lines", "n_lines", 950, 100),
+    "repeat_share": ("n_repeat_words", "n_words", 200, 50),
+    "word_length": ("word_chars", "n_words", 20_000, 6000),
 }
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -132,7 +138,7 @@ def upper_bound(x: int, n: int, alpha: float) -> float:
 
 def value(rule: str) -> Column:
     """A rule's feature in thousandths; 0 where the text has nothing to divide by."""
-    above, below, _ = RULES[rule]
+    above, below, _, _ = RULES[rule]
     return F.when(F.col(below) > 0, F.floor(F.col(above) * 1000 / F.col(below))).otherwise(F.lit(0)).cast("long")
 
 
@@ -140,38 +146,37 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def cutoffs(made: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, confidence: float = CONFIDENCE) -> dict[str | None, dict[str, int]]:
-    """The cutoffs by stratum and rule. Only counts by stratum, rule and cutoff reach the driver."""
+def cutoff(rule: str, level: int) -> int:
+    _, _, mild, strict = RULES[rule]
+    return mild - (mild - strict) * level // (LEVELS - 1)
+
+
+def cutoffs(made: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, confidence: float = CONFIDENCE) -> dict[str | None, int]:
+    """The level of each stratum that has one. Only counts by level reach the driver, of strata with
+    ``MIN_LABELS`` good documents."""
     label = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_least"), F.max("quality").alias("_most")).filter("_least = 1 and _most = 1")
     good = made.filter(~base_failed()).join(label.select("doc_id"), "doc_id", "left_semi")
-    counts = good.groupBy(stratum).agg(
-        F.count("*").alias("_n"),
-        *(F.count_if(value(rule) > cut).alias(f"{rule}>{cut}") for rule, (_, _, grid) in RULES.items() for cut in grid),
-    )
-    found: dict[str | None, dict[str, int]] = {}
-    rows = counts.collect()
-    tests = max(1, len(rows)) * sum(len(grid) for _, _, grid in RULES.values())
+    rejects = lambda level: F.greatest(*((value(rule) > cutoff(rule, level)).cast("int") for rule in RULES))
+    counts = good.groupBy(stratum).agg(F.count("*").alias("_n"), *(F.sum(rejects(level)).alias(f"_{level}") for level in range(LEVELS)))
+    rows = counts.filter(F.col("_n") >= MIN_LABELS).collect()
+    found: dict[str | None, int] = {}
     for row in rows:
-        chosen = found.setdefault(row[stratum], {})
-        for rule, (_, _, grid) in RULES.items():
-            for cut in grid:
-                x, n = row[f"{rule}>{cut}"], row["_n"]
-                if x <= risk / len(RULES) * n and upper_bound(x, n, (1 - confidence) / tests) <= risk / len(RULES):
-                    chosen[rule] = cut
-                    break
+        for level in range(LEVELS):
+            if row[f"_{level}"] > risk * row["_n"] or upper_bound(row[f"_{level}"], row["_n"], (1 - confidence) / len(rows)) > risk:
+                break
+            found[row[stratum]] = level
     return found
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
     """doc_id, the stratum, FEATURES, n_lines, base_failed, failed_rules (of the controlled ones) and kept."""
-    made = table(features(docs, ("doc_id", stratum)), "quality")
+    spark = docs.sparkSession
+    with scope(spark) as s:
+        made = s.keep(table(features(docs.select("doc_id", F.col(stratum).cast("string").alias(stratum), "text"), ("doc_id", stratum)), "quality"))
     chosen = cutoffs(made, labels, stratum, risk, confidence)
-    fails = []
-    for rule in RULES:
-        limit = F.lit(None).cast("long")
-        for s, cuts in chosen.items():
-            if rule in cuts:
-                limit = F.when(F.col(stratum).eqNullSafe(F.lit(s)), F.lit(cuts[rule])).otherwise(limit)
-        fails.append(F.when(F.coalesce(value(rule) > limit, F.lit(False)), F.lit(rule)))
-    out = made.withColumn("base_failed", base_failed()).withColumn("failed_rules", F.array_compact(F.array(*fails)))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    names = [f"_{rule}" for rule in RULES]
+    limits = spark.createDataFrame([(k, *(cutoff(rule, level) for rule in RULES)) for k, level in chosen.items()], ", ".join(["_stratum string", *(f"{n} long" for n in names)]))
+    out = made.join(F.broadcast(limits), made[stratum].eqNullSafe(limits["_stratum"]), "left")
+    fails = [F.when(F.coalesce(value(rule) > F.col(n), F.lit(False)), F.lit(rule)) for rule, n in zip(RULES, names, strict=True)]
+    out = out.withColumn("base_failed", base_failed()).withColumn("failed_rules", F.array_compact(F.array(*fails)))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("_stratum", *names)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import bloom
-from quern.session import table
+from quern.session import scope, table
 
 # Verdict, host and path of the rules.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -50,21 +50,25 @@ def canonical(url: Column) -> Column:
 
 def verdicts(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """``pages`` (with ``url``) with host, path, rule and verdict. ``listed``: a column ``url``."""
-    keys = table(listed.select(canonical(F.col("url")).alias("key")).filter("key is not null").distinct(), "listed-urls")
-    blocks = bloom.size(keys.count())
     kept = [c for c in pages.columns if c not in MADE]
-    out = pages.select(*kept, host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), canonical(F.col("url")).alias("_key"))
+    # Other columns travel in a struct, so that no name of theirs meets one of these.
+    out = pages.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), canonical(F.col("url")).alias("key"))
     rule = decided = F.lit(None).cast("string")
     for verdict, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
         fits = ((F.col("host") == h) | F.col("host").endswith(f".{h}")) & F.col("path").startswith(p)
         rule, decided = F.when(fits, F.lit(h + p)).otherwise(rule), F.when(fits, F.lit(verdict)).otherwise(decided)
-    out = out.withColumns({"rule": rule, "_decided": decided})
-    out = bloom.probe(out, "_key", bloom.build(keys, "key", blocks), blocks)
-    out = out.withColumn("_possible", F.col("_possible") & F.col("_decided").isNull())
-    sure = out.filter(~F.col("_possible")).withColumn("verdict", F.coalesce("_decided", F.lit("allow")))
-    hits = out.filter("_possible").join(keys.select(F.col("key").alias("_key"), F.lit(True).alias("_listed")), "_key", "left")
-    hits = hits.withColumn("verdict", F.when(F.col("_listed"), F.lit("block")).otherwise(F.lit("allow")))
-    return sure.select(*kept, *MADE).unionByName(hits.select(*kept, *MADE))
+    # Only what no rule decides asks the filter.
+    out = out.withColumns({"rule": rule, "decided": decided}).withColumn("key", F.when(F.col("decided").isNull(), F.col("key")))
+    with scope(pages.sparkSession) as s:
+        keys = s.keep(table(listed.select(canonical(F.col("url")).alias("key")).filter("key is not null").distinct(), "listed-urls"))
+        blocks = bloom.size(keys.count())
+        bits = table(bloom.build(keys, "key", blocks), "listed-bits") if blocks else None
+        out = s.keep(table(bloom.probe(out, "key", bits, blocks), "pages-probed", compression="zstd"))
+    sure = out.filter("not _possible").withColumn("verdict", F.coalesce("decided", F.lit("allow")))
+    hits = out.filter("_possible").join(keys.withColumn("listed", F.lit(True)), "key", "left")
+    hits = hits.withColumn("verdict", F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))
+    made = [*(F.col(f"row.`{c}`").alias(c) for c in kept), *MADE]
+    return sure.select(*made).unionByName(hits.select(*made))
 
 
 def listed_by_label(pages: DataFrame, labels: Sequence[str]) -> DataFrame:

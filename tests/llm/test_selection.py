@@ -45,6 +45,20 @@ def test_mix(spark):
     assert mixing.mix(df.filter("text is null")).first().taken == 0
 
 
+def test_mix_of_rows_that_share_ids(spark):
+    """Rows of one id, size and source, and columns of any name: the same rows are taken, however dealt."""
+    random.seed(2)
+    rows = [(i % 40 if i % 3 else None, random.choice("ab"), f"{random.choice('xyz')} {i % 7}", i % 5, f"h{i % 3}", [i % 2]) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, _bucket int, hash string, _row array<int>")
+    got = [sorted(map(str, mixing.mix(df.repartition(n)).collect())) for n in (1, 7)]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    kept = sorted(str((r.doc_id, r.source, r.text, r._bucket, r.hash, r._row)) for r in mixing.mix(df).collect())
+    assert kept == sorted(map(str, rows))
+    same = spark.createDataFrame([(None, "a", "x y")] * 5000 + [(1, "b", "z")] * 3, "doc_id long, source string, text string")
+    taken = mixing.mix(same).groupBy("source").agg(F.sum("taken").alias("n"), F.max("target").alias("t")).collect()
+    assert all(abs(r.n - r.t) <= 4 for r in taken)
+
+
 def odd_texts():
     random.seed(2)
     parts = ["word", " ", "  ", "\n", "\n\n", " \n", "é", "can't", "12", ".", "\t", " ", "<|endoftext|>", "日本", "‍", "x" * 90, "'s", "\r\n"]
@@ -136,4 +150,6 @@ def test_urls(spark):
     assert got[10] == got[11] == ("", "", None, "allow") and got[12] == ("", "", None, "allow")
     assert got[13] == ("a.net\n", "/x", None, "allow") and got[14] == ("É.net", "/", "net/", "block")
     assert url_filter.verdicts(df.limit(0), listed).count() == 0
+    odd = df.selectExpr("page_id", "url", "1 as _block", "'k' as key", "true as _possible", "2 as row", "'x' as rule")
+    assert [(r._block, r.key, r._possible, r.row) for r in url_filter.verdicts(odd, listed).collect()] == [(1, "k", True, 2)] * len(urls)
     assert {r.verdict for r in url_filter.verdicts(df, listed.limit(0)).filter("rule is null").collect()} == {"allow"}

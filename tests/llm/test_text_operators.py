@@ -64,6 +64,55 @@ def test_cutoffs_keep_the_good(spark):
     assert quality.judge(df.limit(0), labels).count() == 0
 
 
+def test_levels_against_brute_force(spark):
+    """Levels by the definition, with binomial tails summed as fractions."""
+    from fractions import Fraction
+    from math import comb
+
+    random.seed(7)
+    rows, labels = [], []
+    for i in range(1500):
+        lang = ("en", "de", None, "fr")[i % 4]
+        text = " ".join(random.choice(["plain", "words", "of", "text", "so", "on"]) + str(k) for k in range(30)) + " #" * random.choice([0, 0, 0, 0, 1, 2, 9] if lang == "en" else [0] * 30 + [40])
+        rows.append((i, text, lang))
+        labels += [(i, int(i % 5 > 0))] + [(i, 0)] * (i % 50 == 1)
+    rows += [(5000, "x " * 40, "it"), (5000, "x " * 40, "it"), (None, "y " * 40, "it")]
+    made = quality.features(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = quality.cutoffs(made, spark.createDataFrame(labels, "doc_id long, quality int"))
+    good = {i for i, q in labels if q} - {i for i, q in labels if not q}
+    want = {}
+    strata = {}
+    for i, t, lang in rows:
+        n, chars, symbols, dups, repeats, lines = features(t)
+        if i in good and n >= 10 and 100 * repeats <= 20 * n:
+            values = {"symbols_per_word": symbols * 1000 // n, "dup_line_share": dups * 1000 // lines, "repeat_share": repeats * 1000 // n, "word_length": chars * 1000 // n}
+            strata.setdefault(lang, []).append(values)
+    for lang, docs in strata.items():
+        for level in range(quality.LEVELS):
+            x = sum(any(v > quality.cutoff(rule, level) for rule, v in d.items()) for d in docs)
+            p = Fraction(2, 100)
+            tail = sum(comb(len(docs), k) * p**k * (1 - p) ** (len(docs) - k) for k in range(x + 1))
+            if x * 50 > len(docs) or tail > Fraction(5, 100) / len(strata):
+                break
+            want[lang] = level
+    assert got == want and len(want) >= 2
+    assert quality.MIN_LABELS <= min(map(len, strata.values()))
+
+
+def test_marks_belong_to_words():
+    assert language.words("हिन्दी में ไทยที่ naïve nai\u0308ve 12x") == ["हिन्दी", "में", "ไทยที่", "naïve", "nai\u0308ve", "x"]
+
+
+def test_language_of_repeated_rows_and_names(spark):
+    rows = [(k, text, lang, "s", 1.0) for k in range(40) for text, lang in (("the house and the tree", "en"), ("das haus und der baum", "de"))]
+    df = spark.createDataFrame(rows + rows, "doc_id long, text string, lang string, lang_pred string, n double")
+    model = language.fit(df, max_words=3, max_grams=50)
+    got = language.identify(df, model).collect()
+    assert len(got) == len(rows) * 2 and all(r.lang_pred == r.lang for r in got)
+    few = language.fit(df, max_rows=20)
+    assert few.languages == ["de", "en"]
+
+
 RULES = {r.kind: re.compile(r.pattern, re.A | (re.I if r.fold else 0)) for r in secret_scan.RULES}
 
 
