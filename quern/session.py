@@ -14,12 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+BATCH_ROWS = 2000
 #: Open scopes, innermost last: the tables written in each.
 _scopes: list[list[DataFrame]] = []
 
 
 def attach(spark: SparkSession) -> None:
-    """Let Python workers import this package even if only the driver's sys.path has it."""
+    """Let Python workers import this package even if only the driver's sys.path has it, and give
+    them fewer rows at a time than Spark's default, unless another number is set: texts are long, and
+    a batch is held by both sides at once."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
