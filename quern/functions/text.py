@@ -25,9 +25,11 @@ def tokens(c: Column) -> Column:
 
 
 def ngrams(toks: Column, n: int) -> Column:
-    """Contiguous n-grams, joined by blanks, repeats kept; empty if there are fewer tokens."""
-    some = F.transform(F.sequence(F.lit(1), F.size(toks) - (n - 1)), lambda i: F.array_join(F.slice(toks, i, n), " "))
-    return F.when(F.size(toks) >= n, some).otherwise(F.array().cast("array<string>"))
+    """Contiguous n-grams, joined by blanks, repeats kept; empty if there are fewer tokens. The tokens
+    are bound once: where they are computed, they would be anew for each n-gram."""
+    some = lambda t: F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " "))
+    made = F.transform(F.array(toks), lambda t: F.when(F.size(t) >= n, some(t)).otherwise(F.array().cast("array<string>")))
+    return F.when(toks.isNull(), F.lit(None)).otherwise(made[0])
 
 
 def without(c: Column, junk: tuple[str, ...]) -> Column:

@@ -9,7 +9,7 @@ from quern.functions.boxed import ground_truth
 from quern.functions.text import get_field, strip
 
 # Fixed value: the instruction behind each problem.
-INSTRUCTION = "Let's think step by step and output the final answer within \\boxed{}."
+INSTRUCTION = "Please reason step by step, and put your final answer within \\boxed{}."
 
 
 def five_field(data_source: str, content: Column, truth: Column, extra: Column) -> list[Column]:
@@ -38,8 +38,8 @@ def kept(parsed: DataFrame) -> DataFrame:
 
 def eval_records(raw: DataFrame, split: str, data_source: str = "math500", instruction: str = INSTRUCTION) -> DataFrame:
     """(index, problem, answer, subject, level, unique_id) to records; nothing is dropped."""
-    extra = F.struct(F.lit(split).alias("split"), F.col("index").cast("long").alias("index"), "problem", "subject", "level", "unique_id")
-    return raw.select(*five_field(data_source, F.concat(F.col("problem"), F.lit(" " + instruction)), strip(F.col("answer")), extra))
+    extra = F.struct(F.lit(split).alias("split"), F.col("index").cast("long").alias("index"), get_field(F.col("problem")).alias("problem"), "subject", "level", "unique_id")
+    return raw.select(*five_field(data_source, F.concat(get_field(F.col("problem")), F.lit(" " + instruction)), strip(get_field(F.col("answer"))), extra))
 
 
 def empty_answers(records: DataFrame) -> DataFrame:

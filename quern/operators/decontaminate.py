@@ -33,16 +33,17 @@ def classify(records: DataFrame, evals: DataFrame, n: int = N, threshold: float
 
     An exact match of normalised texts comes first; else the share of the record's n-grams found in
     the index must exceed the threshold, and the item with most of them, the earliest on a tie, is
-    named. Only grams that match are shuffled."""
+    named. Records have ids of their own; they are read once, and where the index is broadcast one row
+    for each, and for each item with a common gram, is shuffled."""
     exact = bounded(exact_index(evals).withColumnRenamed("eid", "_exact"))
     grams = bounded(gram_index(evals, n))
     toks = records.select("id", norm_exact(F.col("text")).alias("norm"), tokens(F.col("text")).alias("_t"))
-    known = toks.join(exact, "norm", "left").select("id", "_t", "_exact")
-    found = known.filter("_exact is null").select("id", F.posexplode(ngrams(F.col("_t"), n)).alias("_at", "gram")).join(grams, "gram")
-    by_item = found.groupBy("id", "eid").agg(F.count("*").alias("k"), F.min("_at").alias("_at"))
-    best = by_item.groupBy("id").agg(F.sum("k").alias("_matched"), F.max_by("eid", F.struct(F.col("k"), -F.col("_at"))).alias("_eid"))
-    total = F.size("_t") - F.lit(n - 1)
-    out = known.select("id", "_exact", total.alias("_total")).join(best, "id", "left")
+    known = toks.join(exact, "norm", "left").select("id", "_exact", (F.size("_t") - F.lit(n - 1)).alias("_total"), F.when(F.col("_exact").isNull(), ngrams(F.col("_t"), n)).alias("_grams"))
+    # One pass: grams that match nothing fold into one row a record before the shuffle.
+    found = known.select("id", "_exact", "_total", F.posexplode_outer("_grams").alias("_at", "gram")).join(grams, "gram", "left")
+    by_item = found.groupBy("id", "_exact", "_total", "eid").agg(F.count("*").alias("k"), F.min("_at").alias("_at"))
+    hit = F.col("eid").isNotNull()
+    out = by_item.groupBy("id", "_exact", "_total").agg(F.sum(F.when(hit, F.col("k"))).alias("_matched"), F.max_by("eid", F.when(hit, F.struct(F.col("k"), -F.col("_at")))).alias("_eid"))
     rate = F.when(F.col("_exact").isNotNull(), F.lit(1.0)).when(F.col("_matched").isNull(), F.lit(0.0)).otherwise(F.col("_matched") / F.col("_total"))
     out = out.withColumn("hit_rate", rate)
     ngram = F.col("_exact").isNull() & (F.col("hit_rate") > threshold)

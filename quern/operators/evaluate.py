@@ -14,18 +14,20 @@ KEY = ("eval_set", "sample_index")
 def long_form(generations: DataFrame) -> DataFrame:
     """Generations (eval_set, index, data_source, ground_truth, greedy_completion,
     sampled_completions) to one row per completion."""
-    same = ("eval_set", F.col("index").alias("sample_index"), "data_source", "ground_truth")
+    more = [c for c in ("numbers",) if c in generations.columns]
+    same = ("eval_set", F.col("index").alias("sample_index"), "data_source", "ground_truth", *more)
     greedy = generations.select(*same, F.lit("greedy").alias("completion_kind"), F.lit(-1).cast("long").alias("completion_index"), F.col("greedy_completion").alias("completion_text"))
     sampled = generations.select(*same, F.lit("sampled").alias("completion_kind"), F.posexplode("sampled_completions").alias("completion_index", "completion_text"))
     return greedy.unionByName(sampled.withColumn("completion_index", F.col("completion_index").cast("long")))
 
 
-def scored(long: DataFrame, numbers: str | None = None) -> DataFrame:
+def scored(long: DataFrame) -> DataFrame:
     """The long form with extracted_answer (empty if there is none), correctness, format_ok and
-    total_reward."""
+    total_reward. A column ``numbers`` is what expressions may use; without it they are never right."""
+    numbers = "numbers" if "numbers" in long.columns else None
     out = score(long, "completion_text", "ground_truth", "data_source", numbers)
     answer = F.coalesce(extract_answer(F.col("data_source"), F.col("completion_text")), F.lit(""))
-    return out.select(*long.columns, answer.alias("extracted_answer"), "grade.correctness", "grade.format_ok", "grade.total_reward")
+    return out.select(*(c for c in long.columns if c != numbers), answer.alias("extracted_answer"), "grade.correctness", "grade.format_ok", "grade.total_reward")
 
 
 def majority(rows: DataFrame) -> DataFrame:
@@ -37,12 +39,12 @@ def majority(rows: DataFrame) -> DataFrame:
     return votes.withColumn("_k", F.row_number().over(order)).filter("_k = 1").select(*KEY, "data_source", "ground_truth", "extracted_answer", "votes")
 
 
-def majority_scores(rows: DataFrame, numbers: str | None = None) -> DataFrame:
-    """Each winner graded once more, in the form that its grader reads. Without numbers expressions
-    are never right."""
+def majority_scores(rows: DataFrame) -> DataFrame:
+    """Each winner graded once more, in the form that its grader reads; expressions are never right,
+    as there are no numbers here."""
     winners = majority(rows)
     winners = winners.withColumn("_text", as_completion(F.col("data_source"), F.col("extracted_answer")))
-    return score(winners, "_text", "ground_truth", "data_source", numbers).select(*KEY, "data_source", "extracted_answer", "votes", F.col("grade.correctness").alias("correctness"))
+    return score(winners, "_text", "ground_truth", "data_source").select(*KEY, "data_source", "extracted_answer", "votes", F.col("grade.correctness").alias("correctness"))
 
 
 def metrics(rows: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Fixed values here: names of columns and of JSON fields.
 LONG_COLUMNS = ("eval_set", "sample_index", "data_source", "ground_truth", "completion_kind", "completion_index", "completion_text", "extracted_answer", "correctness", "format_ok", "total_reward")
 
 

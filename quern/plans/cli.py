@@ -1,6 +1,7 @@
 """Command line: python -m quern.plans.cli STAGE ...
 
-Exit codes: 2 for missing inputs or arguments, 3 if a source is short.
+Exit codes: 2 for missing inputs or arguments, 3 if a source is short, 4 if completions and samples
+don't pair off.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from quern.plans import artifacts
 from quern.session import attach
 from quern.sources import config, tables
 
-MISSING, SHORT = 2, 3
+MISSING, SHORT, UNPAIRED = 2, 3, 4
+LOG_FORMAT = "%(asctime)s %(levelname)s %(message)s"
 log = logging.getLogger("quern")
 
 
@@ -42,6 +44,21 @@ def stage_clean(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+def stage_math500(spark: SparkSession, a: argparse.Namespace) -> int:
+    """The rows of an evaluation set (problem, answer, subject, level, unique_id) to records; all are
+    kept, and empty answers are reported."""
+    source = _path(a.local_dir, f"{a.split}.parquet")
+    tables.require(spark, [source])
+    raw = spark.read.parquet(source).withColumn("index", F.col("_metadata.row_index"))
+    out = artifacts.write_records(clean.eval_records(raw, a.split), _path(a.out, f"{a.split}.parquet"))
+    made = spark.read.parquet(out)
+    empty = clean.empty_answers(made).first()["n_empty"]
+    log.info("%s: %d rows, %d empty answers", a.split, made.count(), empty)
+    if empty:
+        log.warning("%s: %d empty answers have to be looked at", a.split, empty)
+    return 0
+
+
 def _evals(spark: SparkSession, specs: list[str]) -> DataFrame:
     """Specifications tag=path, in order: the first that has a text names it."""
     parts = []
@@ -103,7 +120,8 @@ def stage_bucket(spark: SparkSession, a: argparse.Namespace) -> int:
             df = sample.first_rows(df, a.limit_per_source, "_row")
         numbers = "numbers" if "numbers" in {f.name for f in df.schema["extra_info"].dataType.fields} else None
         asked = df.select("_row", "data_source", F.col("reward_model.ground_truth").alias("truth"), *([F.col("extra_info.numbers").alias("numbers")] if numbers else []))
-        graded = grade.score(completions.filter(F.col("source") == name).join(asked, F.col("index") == F.col("_row")), numbers=numbers)
+        own = completions.filter(F.col("source") == name).drop("source").withColumnRenamed("index", "_row")
+        graded = grade.score(tables.paired(asked, own, ["_row"], once=False, every=not a.limit_per_source), numbers=numbers)
         rates = buckets.pass_rates(graded, "_row", a.k)
         out = _path(a.out, f"bucketed_{name}.parquet")
         artifacts.write_records(df.join(rates, "_row"), out)
@@ -147,7 +165,7 @@ def stage_evaluate(spark: SparkSession, a: argparse.Namespace) -> int:
     if a.skip_generation:
         return 0
     tables.require(spark, [a.completions])
-    generations = samples.join(spark.read.parquet(a.completions), ["eval_set", "index"])
+    generations = tables.paired(samples, spark.read.parquet(a.completions).select("eval_set", "index", "greedy_completion", "sampled_completions"), ["eval_set", "index"])
     scored = evaluate.scored(evaluate.long_form(generations))
     meta = {"model_path": a.model, "config_version": c.version, "config_frozen_at": str(c.frozen_at), "config_yaml_path": c.path, "config_yaml_sha256": c.sha256}
     artifacts.write_all_outputs(a.out, a.tag, scored, evaluate.metrics(scored), meta)
@@ -158,7 +176,7 @@ def stage_puzzles(spark: SparkSession, a: argparse.Namespace) -> int:
     """Train and test puzzles; no test puzzle repeats a train puzzle."""
     args = {"k_min": a.k_min, "k_max": a.k_max, "low": a.lo, "high": a.hi, "most": a.max_inter}
     train = puzzles.generate(spark, a.train, a.seed, **args)
-    test = puzzles.unseen(puzzles.generate(spark, 2 * a.test, a.seed + 1, **args), train).orderBy("id").limit(a.test)
+    test = puzzles.generate(spark, a.test, a.seed + 1, **args, other_than=train)
     for name, df in (("train", train), ("test", test)):
         if bad := puzzles.sane(df).count():
             raise RuntimeError(f"{bad} puzzles of {name} don't reach their target")
@@ -185,6 +203,7 @@ def stage_inspect(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="quern")
+    p.add_argument("--log-dir", help="also log to a file there, named by stage and time")
     sub = p.add_subparsers(dest="stage", required=True)
 
     def add(name: str, run, **flags) -> None:
@@ -202,6 +221,7 @@ def parser() -> argparse.ArgumentParser:
                 s.add_argument(flag, default=kind, type=type(kind) if kind is not None else str)
 
     add("clean", stage_clean, local_dir=str, out=str, splits=list)
+    add("math500", stage_math500, local_dir=str, out=str, split="test")
     add("decontaminate", stage_decontaminate, records=str, reference=list, out="clean.parquet", review="review.jsonl", stats="stats.json", n=13, threshold=0.8, sample=30, apply=bool)
     add("pool", stage_pool, data_root=str, out=str, numina=30000, countdown=20000, seed=42)
     add("bucket", stage_bucket, candidate_dir=str, out=str, completions=None, k=8, seed=42, only=None, limit_per_source=0, dry_run=bool)
@@ -212,9 +232,19 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def log_file(folder: str, stage: str) -> logging.Handler:
+    os.makedirs(folder, exist_ok=True)
+    handler = logging.FileHandler(os.path.join(folder, f"{stage}_{artifacts.now():%Y%m%d_%H%M%S}.log"), encoding="utf-8")
+    handler.setFormatter(logging.Formatter(LOG_FORMAT))
+    log.setLevel(logging.INFO)
+    log.addHandler(handler)
+    return handler
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
-    logging.basicConfig(level=logging.INFO, format="%(asctime)s %(levelname)s %(message)s")
+    logging.basicConfig(level=logging.INFO, format=LOG_FORMAT)
+    to_file = log_file(a.log_dir, a.stage) if a.log_dir else None
     spark = spark or SparkSession.builder.appName("quern").getOrCreate()
     attach(spark)
     try:
@@ -222,6 +252,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     except tables.MissingInputs as missing:
         log.error("%s", missing)
         return MISSING
+    except tables.Mismatch as mismatch:
+        log.error("%s", mismatch)
+        return UNPAIRED
+    finally:
+        if to_file:
+            log.removeHandler(to_file)
+            to_file.close()
 
 
 if __name__ == "__main__":

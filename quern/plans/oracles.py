@@ -25,7 +25,7 @@ classified AS (SELECT id, (x IS NOT NULL OR hit_rate > {t}) AS is_hit, CASE WHEN
   CASE WHEN x IS NOT NULL THEN x WHEN hit_rate > {t} THEN eid END AS matched_eval FROM rated)"""
 
 DOCUMENTS = f"WITH {BASE}, recs AS (SELECT id, text FROM corpus), {MATCH.format(n=13, t=0.1)}"
-LINES = f"""WITH {BASE}, recs AS (SELECT id * 1000000 + p - 1 AS id, line AS text FROM
+LINES = f"""WITH {BASE}, recs AS (SELECT id * 4294967296 + p - 1 AS id, line AS text FROM
   (SELECT id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM corpus) s), {MATCH.format(n=13, t=0.8)}"""
 
 # Flat boxes: whether a box, what it holds, and the distinct normal forms of all.
@@ -36,7 +36,7 @@ boxes AS (SELECT id, problem, solution, source,
   list_distinct(list_transform(regexp_extract_all(solution, '\\boxed *\{{([^{{}}]*)\}}', 1), lambda x: trim(replace(replace(replace(trim(x), chr(92) || 'left', ''), '$', ''), chr(10), '')))) AS answers FROM last),
 truth AS (SELECT *, CASE WHEN len(answers) = 0 THEN 'no_boxed' WHEN len(answers) > 1 THEN 'multi_boxed' WHEN answers[1] = '' THEN 'empty' WHEN length(answers[1]) > 100 THEN 'too_long' ELSE 'ok' END AS reason FROM boxes),
 parsed AS (SELECT *, reason = 'ok' AS keep, CASE WHEN reason = 'ok' THEN answers[1] END AS answer FROM truth)"""
-INSTRUCTION = "' Let''s think step by step and output the final answer within ' || chr(92) || 'boxed{}.'"
+INSTRUCTION = "' Please reason step by step, and put your final answer within ' || chr(92) || 'boxed{}.'"
 
 # Answers and grades of ``rolls``.
 GRADED = rf"""WITH rolls AS ({ROLLOUTS}),
@@ -111,10 +111,10 @@ ORACLES: dict[str, str] = {
         m AS (SELECT eval_set, sum(correctness) AS c FROM maj GROUP BY eval_set)
         SELECT g.eval_set AS eval_set_name, data_source, n AS num_samples, round(p, 9) AS pass_at_1, round(coalesce(c, 0) / n, 9)::DOUBLE AS maj_at_8, round(f, 9) AS format_rate, round(t, 9) AS total_reward_greedy, round(s, 9) AS total_reward_sampled_mean FROM g LEFT JOIN m ON g.eval_set = m.eval_set""",
     "eval_long_form": f"{LONG} SELECT sample_index, kind AS completion_kind, CASE WHEN kind = 'greedy' THEN -1 ELSE ci END::BIGINT AS completion_index, text AS completion_text FROM lf",
-    "metrics_json": f"WITH rolls AS ({ROLLOUTS}) SELECT data_source, concat('{{\"data_source\":\"', data_source, '\",\"n\":', count(*), '}}') AS json FROM rolls GROUP BY data_source",
     "source_checks": f"WITH rolls AS ({ROLLOUTS}) SELECT count(*)::BIGINT AS n, (SELECT string_agg(d, ',' ORDER BY d) FROM (SELECT DISTINCT data_source AS d FROM rolls) x) AS sources FROM rolls",
     "puzzle_prompts": f"{PUZZLED} SELECT id, concat('Numbers: ', a, ', ', b, ', ', c, chr(10), 'Target: ', target, chr(10), 'Go.') AS content FROM puz",
     "puzzles_distinct": f"{PUZZLED}, k AS (SELECT id, target, row_number() OVER (PARTITION BY array_to_string(list_sort([a, b, c]), ','), target ORDER BY id) AS r FROM puz) SELECT id, target FROM k WHERE r = 1",
     "puzzles_unseen": f"{PUZZLED}, k AS (SELECT id, target, array_to_string(list_sort([a, b, c]), ',') AS n FROM puz) SELECT id, target FROM k WHERE id % 4 = 0 AND NOT EXISTS (SELECT 1 FROM k o WHERE o.id % 4 > 0 AND o.n = k.n AND o.target = k.target)",
     "puzzles_wrong": "SELECT p_partkey AS id, p_partkey AS target FROM part WHERE false",
 }
+ORACLES["metrics_json"] = f"""SELECT eval_set_name, concat('{{"eval_set_name":"', eval_set_name, '","data_source":"', data_source, '","num_samples":', num_samples, ',"pass_at_1":', pass_at_1::DECIMAL(12,6), ',"maj_at_8":', maj_at_8::DECIMAL(12,6), ',"format_rate":', format_rate::DECIMAL(12,6), ',"total_reward_greedy":', total_reward_greedy::DECIMAL(12,6), ',"total_reward_sampled_mean":', total_reward_sampled_mean::DECIMAL(12,6), '}}') AS json FROM ({ORACLES['eval_metrics']})"""

@@ -43,7 +43,7 @@ def decontam_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def decontam_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = views.corpus(spark, sf_dir).select("id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
-    lines = lines.select((F.col("id") * 1_000_000 + F.col("pos")).alias("id"), "text")
+    lines = lines.select((F.col("id") * (1 << 32) + F.col("pos")).alias("id"), "text")
     return decontaminate.classify(lines, views.evals(spark, sf_dir)).filter("is_hit or hit_rate > 0")
 
 
@@ -321,8 +321,10 @@ def eval_long_form(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def metrics_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = views.rollouts(spark, sf_dir).groupBy("data_source").agg(F.count("*").alias("n"))
-    return counts.select("data_source", F.to_json(F.struct("data_source", "n")).alias("json"))
+    """The metrics of each evaluation set as JSON, with six decimals."""
+    m = evaluate.metrics(evaluate.scored(_long(spark, sf_dir)))
+    fixed = [F.col(c).cast("decimal(12,6)").alias(c) for c in ("pass_at_1", "maj_at_8", "format_rate", "total_reward_greedy", "total_reward_sampled_mean")]
+    return m.select("eval_set_name", F.to_json(F.struct("eval_set_name", "data_source", "num_samples", *fixed)).alias("json"))
 
 
 @query
@@ -360,5 +362,6 @@ def puzzles_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def puzzles_wrong(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generated puzzles, made from the table's keys, that fail their own check: none."""
+    """Generated puzzles that fail their own check: none. Like ``puzzles_generated`` a source of rows,
+    which reads no table."""
     return puzzles.sane(puzzles.generate(spark, 500)).select("id", "target")

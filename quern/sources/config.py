@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pathlib import Path
 from typing import Any
 
+# Keys of the YAML files and names of sources.
 EVAL_KEYS = ("version", "eval_sets", "metrics", "sampling", "generation", "scoring", "engine")
 EVAL_SET_KEYS = ("name", "path", "data_source", "size")
 SOURCES = ("gsm8k", "numina", "countdown")

@@ -40,14 +40,17 @@ def splits(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     return out
 
 
-def eval_samples(df: DataFrame, name: str, position: Column | None = None) -> DataFrame:
-    """Records to eval_set, index, data_source, prompt_text, ground_truth and raw_question. The index
-    is that of extra_info, or else the row's position."""
+def eval_samples(df: DataFrame, name: str, position: Column | None = None, numbers: bool = False) -> DataFrame:
+    """Records to eval_set, index, data_source, prompt_text, ground_truth and raw_question, and, if
+    asked for, the numbers of a puzzle (null for others). The index is that of extra_info, or else the
+    row's position."""
     fields = {f.name for f in df.schema["extra_info"].dataType.fields}
     own = F.col("extra_info.index").cast("long") if "index" in fields else F.lit(None).cast("long")
     index = F.coalesce(own, position) if position is not None else own
     question = first_filled(*(F.col(f"extra_info.{f}").cast("string") for f in ("question", "problem") if f in fields))
-    return df.select(F.lit(name).alias("eval_set"), index.alias("index"), "data_source", chat_template(F.col("prompt")).alias("prompt_text"), F.col("reward_model.ground_truth").cast("string").alias("ground_truth"), question.alias("raw_question"))
+    given = F.col("extra_info.numbers").cast("array<bigint>") if "numbers" in fields else F.lit(None).cast("array<bigint>")
+    more = [given.alias("numbers")] if numbers else []
+    return df.select(F.lit(name).alias("eval_set"), index.alias("index"), "data_source", chat_template(F.col("prompt")).alias("prompt_text"), F.col("reward_model.ground_truth").cast("string").alias("ground_truth"), question.alias("raw_question"), *more)
 
 
 def load_eval(spark: SparkSession, eval_sets: list[dict], working_dir: str = ".") -> DataFrame:
@@ -56,11 +59,26 @@ def load_eval(spark: SparkSession, eval_sets: list[dict], working_dir: str = "."
     out = None
     for name, path in paths.items():
         df = spark.read.parquet(path).withColumn("_row", F.col("_metadata.row_index"))
-        part = eval_samples(df, name, F.col("_row"))
+        part = eval_samples(df, name, F.col("_row"), numbers=True)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+class Mismatch(ValueError):
+    """Completions that don't pair off with what they were made for."""
+
+
+def paired(samples: DataFrame, completions: DataFrame, on: list[str], once: bool = True, every: bool = True) -> DataFrame:
+    """Samples joined with their completions. Each sample must have completions, one row if ``once``;
+    each row of completions must have its sample if ``every``; else Mismatch."""
+    own = samples.groupBy(*on).agg(F.count("*").alias("_l"))
+    other = completions.groupBy(*on).agg(F.count("*").alias("_r"))
+    seen = own.join(other, on, "full_outer").agg(F.count_if(F.col("_r").isNull()).alias("bare"), F.count_if(F.col("_l").isNull()).alias("stray"), F.count_if(F.col("_r") > 1).alias("several"), F.count_if(F.col("_l") > 1).alias("twice")).first()
+    if seen["bare"] or seen["twice"] or (every and seen["stray"]) or (once and seen["several"]):
+        raise Mismatch(f"{seen['bare']} samples without completions, {seen['twice']} samples more than once, {seen['stray']} completions without a sample, {seen['several']} with several rows")
+    return samples.join(completions, on)
+
+
 def checks(samples: DataFrame, eval_sets: list[dict]) -> list[str]:
     """Warnings: sets whose size or data sources are other than configured."""
     rows = {r["eval_set"]: r for r in samples.groupBy("eval_set").agg(F.count("*").alias("n"), F.collect_set("data_source").alias("sources")).collect()}

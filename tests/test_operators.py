@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import buckets, clean, decontaminate, evaluate, grade, mix, puzzles, sample
-from quern.sources import config
+from quern.sources import config, tables
 
 B = lambda x: f"\\boxed{{{x}}}"
 
@@ -13,18 +13,19 @@ def grades(spark, rows, **kw):
 
 
 def test_numeric_grades(spark):
-    cases = [("reason\n#### 42", "42", 1.1), ("reason\n#### 41", "42", 0.1), ("the answer is 42", "42", 1.0), ("the answer is 41", "42", 0.0), ("x = 72. The answer is 72.", "72", 1.0), ("I do not know.", "72", 0.0), ("#### 42.0", "42", 0.1), ("I got 42 apples, done", "42", 0.0)]
+    cases = [("7 + 8 = 15\n#### 15", "15", 1.1), ("#### 1,500", "1500", 1.1), ("#### 16", "15", 0.1), ("we get 12, then 15", "15", 1.0), ("15, or rather 12", "15", 0.0), ("nothing to count", "3", 0.0), ("#### 15.00", "15", 0.1), ("#### 9\n#### 15", "15", 1.1), ("15 pears, that is it", "15", 0.0)]
     assert grades(spark, [(k, "openai/gsm8k", t, w, None) for k, (t, w, _) in enumerate(cases)]) == [c[2] for c in cases]
 
 
 def test_expression_grades(spark):
-    cases = [(f"so {B('3 \\times 8')}", 1.1), (f"so {B('3 + 8')}", 0.1), (f"so {B('8 \\times 8')}", 0.1), (f"thus {B('24 = 3 \\times 8')}", 1.1), ("3*8", 0.0), (B("(3)(8)"), 0.1)]
-    assert grades(spark, [(k, "countdown", t, "24", [3, 8]) for k, (t, _) in enumerate(cases)]) == [c[1] for c in cases]
-    assert grades(spark, [(0, "countdown", B("3*8"), "24.0", [3, 8]), (1, "countdown", B("3*8"), "24", None), (2, "countdown", B("3*8"), "24", [])]) == [0.1, 0.1, 0.1]
+    cases = [(B("(7 - 2) * 6"), 1.1), (B("7 * 6 - 2"), 0.1), (B("5 * 6"), 0.1), (f"check: {B('30 = 6 \\times (7 - 2)')}", 1.1), ("(7 - 2) * 6", 0.0), (B("6(7 - 2)"), 0.1), (B("(7 - 2) * 6 * 1"), 0.1)]
+    assert grades(spark, [(k, "countdown", t, "30", [2, 6, 7]) for k, (t, _) in enumerate(cases)]) == [c[1] for c in cases]
+    good = B("(7 - 2) * 6")
+    assert grades(spark, [(0, "countdown", good, "30.0", [2, 6, 7]), (1, "countdown", good, "30", None), (2, "countdown", good, "30", [])]) == [0.1, 0.1, 0.1]
 
 
 def test_symbolic_and_unknown_grades(spark):
-    cases = [("math500", f"hence {B(42)}", "42", 1.1), ("math500", f"hence {B(41)}", "42", 0.1), ("numina_math", B("\\frac{1}{2}"), "\\frac{1}{2}", 1.1), ("math", "the answer is 41", "42", 0.0), ("other", B(42), "42", 0.0), ("gsm8k", "#### 1", "1", 1.1)]
+    cases = [("math500", f"so it is {B(17)}", "17", 1.1), ("math500", f"so it is {B(71)}", "17", 0.1), ("numina_math", B("\\dfrac{3}{7}"), "\\frac{3}{7}", 1.1), ("math", "17, I think", "17", 0.0), ("elsewhere", B(17), "17", 0.0), ("gsm8k", "#### 17", "17", 1.1)]
     assert grades(spark, [(k, s, t, w, None) for k, (s, t, w, _) in enumerate(cases)]) == [c[3] for c in cases]
 
 
@@ -35,28 +36,52 @@ def test_null_truth_flag(spark):
 
 
 def test_extracted_answers(spark):
-    cases = [("openai/gsm8k", "reasoning\n#### 42", "42"), ("openai/gsm8k", "the answer is 42", "42"), ("openai/gsm8k", "no digits here", None), ("math500", f"answer is {B('3.14')}", "3.14"), ("math500", "no boxed", None), ("numina_math", f"final {B('x + 1')}", "x + 1"), ("countdown", f"so {B('3 * 8')}", "3 * 8"), ("unknown_source", "whatever", None), ("gsm8k", "#### 3", None)]
+    cases = [("openai/gsm8k", "4 * 4\n#### 16", "16"), ("openai/gsm8k", "4 and 16", "16"), ("openai/gsm8k", "none at all", None), ("math500", f"{B(1)} and then {B('2\\pi')}", "2\\pi"), ("math500", "2\\pi", None), ("numina_math", B("y - 2"), "y - 2"), ("countdown", f"try {B('9 / 3')}", "9 / 3"), ("elsewhere", B(4), None), ("gsm8k", "#### 16", None)]
     df = spark.createDataFrame([(k, s, t) for k, (s, t, _) in enumerate(cases)], "k int, s string, t string")
     got = df.select("k", grade.extract_answer(F.col("s"), F.col("t")).alias("a")).orderBy("k").collect()
     assert [r.a for r in got] == [c[2] for c in cases]
 
 
 def scored(spark):
-    sampled = [["a\n#### 42"] * 8, ["a\n#### 41"] * 5 + ["b\n#### 42"] * 3, ["a\n#### 42"] * 6 + ["b\n#### 41"] * 2]
-    greedy = ["reason\n#### 42", "reason\n#### 41", "the answer is 42"]
-    rows = [("set", k, "openai/gsm8k", "42", g, s) for k, (g, s) in enumerate(zip(greedy, sampled, strict=True))]
+    """Five samples of four completions each: how many are right, and whether the greedy one is marked."""
+    rows = []
+    for k, right in enumerate((4, 3, 2, 1, 0)):
+        sampled = [f"#### {90 + k}"] * right + [f"#### {10 + k}"] * (4 - right)
+        greedy = (f"#### {90 + k}", f"#### {10 + k}", f"so {90 + k}", f"so {10 + k}", "no idea")[k]
+        rows.append(("set", k, "openai/gsm8k", str(90 + k), greedy, sampled))
     df = spark.createDataFrame(rows, "eval_set string, index long, data_source string, ground_truth string, greedy_completion string, sampled_completions array<string>")
     return evaluate.scored(evaluate.long_form(df))
 
 
 def test_metrics(spark):
     m = evaluate.metrics(scored(spark)).first()
-    assert m.num_samples == 3
-    assert [round(x, 9) for x in (m.pass_at_1, m.format_rate, m.maj_at_8, m.total_reward_greedy, m.total_reward_sampled_mean)] == [round(x, 9) for x in (2 / 3, 2 / 3, 2 / 3, 2.2 / 3, 19.4 / 24)]
-    assert scored(spark).filter("completion_kind = 'greedy'").count() == 3
+    assert m.num_samples == 5
+    # Greedy: 1.1, 0.1, 1, 0, 0. A tie of two and two goes to the right answer, which came first.
+    assert [round(x, 9) for x in (m.pass_at_1, m.format_rate, m.maj_at_8, m.total_reward_greedy, m.total_reward_sampled_mean)] == [0.4, 0.4, 0.6, 0.44, 0.6]
+    assert scored(spark).filter("completion_kind = 'greedy'").count() == 5
     assert evaluate.metrics(scored(spark).limit(0)).count() == 0
 
 
+def test_numbers_reach_the_grader(spark):
+    rows = [("set", k, "countdown", "30", B("(7 - 2) * 6"), [B("7 * 6")], numbers) for k, numbers in enumerate([[2, 6, 7], None])]
+    df = spark.createDataFrame(rows, "eval_set string, index long, data_source string, ground_truth string, greedy_completion string, sampled_completions array<string>, numbers array<bigint>")
+    out = evaluate.scored(evaluate.long_form(df))
+    assert "numbers" not in out.columns
+    assert {(r.sample_index, r.completion_kind): r.correctness for r in out.collect()} == {(0, "greedy"): 1.0, (0, "sampled"): 0.0, (1, "greedy"): 0.0, (1, "sampled"): 0.0}
+
+
+def test_completions_pair_off(spark):
+    samples = spark.createDataFrame([("s", 0), ("s", 1)], "eval_set string, index long")
+    on = ["eval_set", "index"]
+    done = lambda rows: spark.createDataFrame([("s", i, "x") for i in rows], "eval_set string, index long, text string")
+    assert tables.paired(samples, done([0, 1]), on).count() == 2
+    assert tables.paired(samples, done([0, 1, 1]), on, once=False).count() == 3
+    assert tables.paired(samples, done([0, 1, 2]), on, every=False).count() == 2
+    for wrong in ([0], [0, 1, 1], [0, 1, 2]):
+        with pytest.raises(tables.Mismatch):
+            tables.paired(samples, done(wrong), on)
+
+
 def test_majority_takes_the_first_seen_on_a_tie(spark):
     rows = [("s", 0, "openai/gsm8k", "1", "sampled", k, f"#### {x}") for k, x in enumerate([1, 2, 2, 1])]
     df = spark.createDataFrame(rows, "eval_set string, sample_index long, data_source string, ground_truth string, completion_kind string, completion_index long, completion_text string")
@@ -119,15 +144,28 @@ def test_clean(spark):
     assert clean.stats(parsed).first().asDict() == {"original": 3, "kept": 1, "dropped": 2, "retention": 0.3333}
     assert {r.reason: r.n for r in clean.drop_reasons(parsed).collect()} == {"no_boxed": 1, "multi_boxed": 1}
     one = clean.kept(parsed).first()
-    assert one.reward_model.ground_truth == "1" and one.prompt[0].content.startswith("p Let's") and one.extra_info.subsource == "s"
+    assert one.reward_model.ground_truth == "1" and one.prompt[0].content.startswith("p Please reason step by step") and one.extra_info.subsource == "s"
     assert clean.stats(parsed.limit(0)).first().retention == 0.0
 
 
 def test_puzzles(spark):
     made = puzzles.generate(spark, 200).persist()
-    assert made.count() == 200 and puzzles.sane(made).count() == 0
+    assert sorted(r.id for r in made.collect()) == [*range(200)] and puzzles.sane(made).count() == 0
     keys = {(tuple(sorted(r.numbers)), r.target) for r in made.collect()}
     assert len(keys) == 200 and all(0 < t <= 1000 for _, t in keys)
+    assert all(op in "".join(r.expr for r in made.collect()) for op in "+-*/")
     assert puzzles.unseen(made, made).count() == 0
+    more = puzzles.generate(spark, 50, other_than=made)
+    assert more.count() == 50 and not keys & {(tuple(sorted(r.numbers)), r.target) for r in more.collect()}
     r = puzzles.records(made, "train").first()
-    assert r.data_source == "countdown" and f"Target: {r.extra_info.target}" in r.prompt[0].content
+    assert r.data_source == "countdown" and f"Target: {r.extra_info.target}\nUsing each" in r.prompt[0].content
+    with pytest.raises(ValueError):
+        puzzles.generate(spark, 20, low=1, high=1, k_max=3)
+
+
+def test_operations_in_all_orders(spark):
+    state = F.struct(F.lit(12).cast("bigint").alias("v"), F.lit("12").alias("expr"))
+    got = {(r.pick, r.c.v, r.c.expr) for r in spark.range(24).select(F.col("id").alias("pick"), puzzles.combine(state, F.lit(4).cast("bigint"), F.col("id"), 40).alias("c")).collect()}
+    first = {e[4:5] and e.split(" ")[1] for _, _, e in got}
+    assert first == {"+", "-", "/"} and len(got) == 24  # 48 is over 40
+    assert {v for _, v, _ in got} == {16, 8, 3}
