@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quern.llm import words as W
 from quern.session import attach, scope, table
 
 MAX_ROWS = 20_000
@@ -211,15 +212,15 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] | None = None)
     kept = [c for c in (keep or docs.columns) if c not in ("lang_pred", "score")]
     source = docs.select(*kept, F.col("text").alias("_text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), "lang_pred string", "score double"])
-    held = spark.sparkContext.broadcast(model)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(held.value)
+        scorer = Scorer(model)  # with the task, not as a broadcast, which workers would hold on to
         for batch in batches:
             for first in range(0, len(batch), TEXTS):
                 part = batch.slice(first, TEXTS)
                 found, score = scorer.predict(part.column(len(kept)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(found, pa.string()), pa.array(score, pa.float64())], names=[*kept, "lang_pred", "score"])
+        del scorer
+        W.release()
 
     return source.mapInArrow(run, schema)
 

@@ -7,18 +7,31 @@ and words of code points are the same.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+#: Each byte of a block takes some sixty of memory.
+BLOCK_BYTES = 1 << 18
+_libc = ctypes.CDLL(None)
+if hasattr(_libc, "mallopt"):
+    # Arrays from 256 kB on are mapped each, so that a worker that Spark keeps for other tasks
+    # gives back what it has freed; glibc would else raise this threshold (its option -3) as it goes.
+    _libc.mallopt(-3, 1 << 18)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def release() -> None:
+    """Give memory that is free back to the system: Spark keeps Python workers for other tasks."""
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64: a bijection that spreads every bit."""
     x = x ^ (x >> np.uint64(30))
