@@ -24,12 +24,20 @@ from quern.session import drop_table, table
 
 ROUNDS = 2
 PART = 256
+#: Keys, of 12 bytes each, that are broadcast at most.
+FEW = 100_000
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, pairs: DataFrame, part: int = PART) -> DataFrame:
     """The inner join of ``left``, rows of ``pairs`` (a, b) with more columns, with one row a key on
-    the right, which is copied for every ``part`` pairs of its key: they meet it in as many tasks."""
-    many = pairs.groupBy(key).agg(F.ceil(F.count("*") / part).cast("int").alias("_parts")).filter("_parts > 1")
+    the right, which is copied for every ``part`` pairs of its key: they meet it in as many tasks. The
+    keys that are copied are counted first, and broadcast if they are at most ``FEW``, so either side is
+    shuffled once; beyond that they are joined by shuffle, with the same result."""
+    many = table(pairs.groupBy(key).agg(F.ceil(F.count("*") / part).cast("int").alias("_parts")).filter("_parts > 1"), "keys-spread")
+    number = many.count()
+    if not number:
+        return left.join(right, key)
+    many = F.broadcast(many) if number <= FEW else many
     salted = left.join(many, key, "left").withColumn("_salt", F.pmod(F.xxhash64("a", "b"), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
     copies = right.join(many, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     return salted.join(copies, [key, "_salt"]).drop("_salt")
