@@ -6,8 +6,7 @@ bits over its pairs of neighbouring words, and one of 64 for each block of words
 into blocks by their hash, so a changed word spoils two blocks at most, and by the pigeonhole
 principle the others agree:
 
-* from ``LONG`` words on, one block for about every four words, of which those ``TAKEN`` with the
-  least hashes count, one block a key;
+* from ``LONG`` words on, one block for about every four words, each of them a key;
 * from ``MIDDLE`` words on, five blocks, two of them a key;
 * below, a word is a block, and a key is all of them but one, or all.
 
@@ -42,14 +41,16 @@ from quern.llm import bloom, edits
 from quern.llm import words as W
 from quern.llm.components import components
 from quern.llm.linking import links, spread_join
-from quern.session import attach, numbered, scope, table
+from quern.session import attach, drop_table, numbered, scope, table
 
 SIMILARITY = 80
 BITS = 44
 SHORT, MIDDLE, LONG = 3, 9, 24
 #: A class this near to a limit has the keys of both sides.
 NEAR = 2
-BLOCKS, TAKEN = 6, 6
+BLOCKS, FEW = 6, 3
+#: Keys to a range, and keys or pairs that a worker holds before it passes them on.
+RANGE, HELD = 500_000, 1_000_000
 #: The least weight of a short, middle and long line's keys.
 WEIGHT = (8, 10, 14)
 MADE = ("n_lines", "n_removed")
@@ -159,17 +160,12 @@ def _long_keys(x: Lines, line: np.ndarray, level: np.ndarray) -> tuple[np.ndarra
     entry, number, value, size = _blocks(x, line, np.int64(8) << level)
     keys = W.mix64(W.mix64(value ^ _SALT[2]) + (number * 64 + level[entry]).astype(np.uint64))
     able = size >= WEIGHT[2]
-    entry, keys = entry[able], keys[able]
-    order = np.lexsort((keys, entry))
-    entry, keys = entry[order], keys[order]
-    n = np.bincount(entry, minlength=len(line))
-    few = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n) < TAKEN
-    return line[entry[few]], keys[few]
+    return line[entry[able]], keys[able]
 
 
 def line_keys(x: Lines, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lines of ``use`` and their keys, by line. Long lines with few keys, as those that repeat
-    themselves have, get those of a middle one too."""
+    """Lines of ``use`` and all their keys, by line. Long lines with fewer keys than ``FEW``, as those
+    that repeat themselves have, get those of a middle one too. Word counts a fifth apart share a level."""
     n = x.n[use]
     found = []
     middle = use[(n >= MIDDLE) & (n < LONG + NEAR + 1)]
@@ -178,9 +174,9 @@ def line_keys(x: Lines, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(line := use[n >= LONG - NEAR]):
         m = x.n[line]
         level = np.maximum(0, np.floor(np.log2(m / LONG))).astype(np.int64)
-        up, down = m > 0.9 * (LONG << (level + 1)), (m < 1.1 * (LONG << level)) & (level > 0)
+        up, down = m > 0.9 * (LONG << (level + 1)), (m <= 1.125 * (LONG << level)) & (level > 0)
         found.append(_long_keys(x, np.concatenate([line, line[up], line[down]]), np.concatenate([level, level[up] + 1, level[down] - 1])))
-        middle = np.union1d(middle, line[np.bincount(found[-1][0], minlength=len(x.n))[line] < TAKEN // 2])
+        middle = np.union1d(middle, line[np.bincount(found[-1][0], minlength=len(x.n))[line] < FEW])
     if len(middle):
         found.append(_middle_keys(x, middle))
     if not found:
@@ -191,7 +187,7 @@ def line_keys(x: Lines, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 BITS_OF = ["bits0", "bits1"]
-LINE_ROWS = "doc long, _file long, _row long, line long, id long, n long, bits0 long, bits1 long, keys array<long>"
+LINE_ROWS = "doc long, _file long, _row long, line long, id long, n long, bits0 long, bits1 long, keys binary"
 
 
 def line_bits(x: Lines, use: np.ndarray) -> list[np.ndarray]:
@@ -205,7 +201,7 @@ def line_bits(x: Lines, use: np.ndarray) -> list[np.ndarray]:
 
 def line_rows(texts: DataFrame) -> DataFrame:
     """(doc, _file, _row, text) to a row for each line with a word: its number (from 0), class,
-    normalised length in characters, SimHash and keys."""
+    normalised length in characters, SimHash and keys, of 8 bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,7 +218,7 @@ def line_rows(texts: DataFrame) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(line, minlength=len(x.n))[use])])
                 text = np.searchsorted(x.first_line, use, "right") - 1
                 columns = [p[b.first + text] for p in places] + [use - x.first_line[text], whole.view(np.int64), x.chars[use], *(bits.view(np.int64) for bits in line_bits(x, use))]
-                made = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.view(np.int64), pa.int64()))
+                made = pa.Array.from_buffers(pa.binary(), len(use), [None, pa.py_buffer((8 * offsets).astype(np.int32)), pa.py_buffer(keys)])
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), made], names=["doc", "_file", "_row", "line", "id", "n", *BITS_OF, "keys"])
 
     return texts.select("doc", *PLACE, "text").mapInArrow(run, LINE_ROWS)
@@ -235,15 +231,80 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(plain, " +", " "))
 
 
-def class_texts(texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """id and normalised text of the classes (id, first), from the line where each occurs first."""
-    of = F.xxhash64(*PLACE).alias("_at")
-    wanted = classes.groupBy(F.col("first._file").alias("_file"), F.col("first._row").alias("_row")).agg(F.collect_list(F.struct("id", F.col("first.line").alias("line"))).alias("_lines"))
-    wanted = table(wanted, "line-documents-wanted")
-    some = bloom.filtered(texts.select(*PLACE, "text", of), "_at", wanted.select(of), wanted.count()).join(wanted, PLACE)
-    every = F.split("text", "\n", -1)
-    cut = F.transform("_lines", lambda x: F.struct(x["id"].alias("id"), F.try_element_at(every, (x["line"] + 1).cast("int")).alias("line")))
-    return some.select(F.explode(cut).alias("x")).select("x.id", normalised(F.col("x.line")).alias("norm"))
+def keyed_lines(lines: DataFrame) -> DataFrame:
+    """(id, keys) to (key, id), each once, of the keys that several classes have. Keys travel packed:
+    a row holds many of one range of keys, sorted, byte by byte, so what they have in common shrinks.
+    Each range has about ``RANGE`` of them, copies of classes aside, and is sorted in one task."""
+    total = lines.agg(F.sum(F.octet_length("keys") / 8).cast("long")).first()[0] or 0
+    parts = -(-total // RANGE) or 1
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def packed() -> pa.RecordBatch:
+            keys, ids = _once(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
+            part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]).tolist()
+            rows = [(int(part[a]), _planes(keys[a:b]), _planes(ids[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))], names=["part", "keys", "ids"])
+
+        for batch in batches:
+            column = batch.column(1)
+            n = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4) if len(column) else np.zeros(1, np.int32)
+            if n[-1] > n[0]:
+                keys = np.frombuffer(column.buffers()[2], np.uint64, (n[-1] - n[0]) // 8, n[0])
+                held.append((keys.copy(), np.repeat(batch.column(0).to_numpy(), np.diff(n) // 8).view(np.uint64)))
+            if sum(len(h[0]) for h in held) >= HELD:
+                yield packed()
+                held.clear()
+        if held:
+            yield packed()
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [(_values(k.as_py()), _values(i.as_py())) for batch in batches for k, i in zip(batch.column(1), batch.column(2), strict=True)]
+        if found:
+            keys, ids = _once(*(np.concatenate([f[k] for f in found]) for k in (0, 1)))
+            again = np.concatenate([[False], keys[1:] == keys[:-1]])
+            again[:-1] |= again[1:]
+            keys, ids = keys[again].view(np.int64), ids[again].view(np.int64)
+            for a in range(0, len(keys), HELD):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + HELD]), pa.array(ids[a : a + HELD])], names=["key", "id"])
+
+    some = lines.select("id", "keys").mapInArrow(pack, "part long, keys binary, ids binary")
+    return some.repartition(parts, "part").mapInArrow(shared, "key long, id long")
+
+
+def _once(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and ids in order of the keys, each pair once."""
+    order = np.argsort(keys, kind="stable")
+    keys, ids = keys[order], ids[order]
+    tied = np.concatenate([[False], keys[1:] == keys[:-1]])
+    tied[:-1] |= tied[1:]
+    at = np.flatnonzero(tied)
+    at = at[np.lexsort((ids[at], keys[at]))]
+    same = np.concatenate([[False], (keys[at[1:]] == keys[at[:-1]]) & (ids[at[1:]] == ids[at[:-1]])]) if len(at) else np.empty(0, bool)
+    left = np.ones(len(keys), bool)
+    left[at[same]] = False
+    return keys[left], ids[left]
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers as their first bytes, then their second ones and so on."""
+    return values.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _values(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def class_texts(texts: DataFrame, wanted: DataFrame, number: int) -> DataFrame:
+    """id and normalised text of the ``number`` wanted classes (id, _file, _row, line), from the line
+    where each occurs first. Only lines that the Bloom filter lets pass are shuffled."""
+    place = [*PLACE, "line"]
+    at = F.xxhash64(*PLACE, F.col("line").cast("long")).alias("_at")
+    every = texts.select(*PLACE, F.posexplode(F.split("text", "\n", -1)).alias("line", "raw")).select(*PLACE, F.col("line").cast("long").alias("line"), "raw")
+    some = bloom.filtered(every.select("*", at), "_at", wanted.select(at), number).drop("_at")
+    return some.join(wanted, place).select("id", normalised(F.col("raw")).alias("norm"))
 
 
 def distance(a: str, b: str) -> int:
@@ -312,19 +373,87 @@ def similar(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series(all_alike(x.tolist(), y.tolist()), dtype=bool)
 
 
+def connect(cells: DataFrame, norms: DataFrame) -> DataFrame:
+    """Links (a, b) of the lines of each cell that connect all that are alike there, as ``cells`` of
+    ``linking``, fewer than the cell has lines: lines are compared in the task that has their cell, and
+    not at all once they are connected."""
+    cell = ["key", "_low", "_high"]
+    rows = cells.join(norms, "id").select(*cell, "_part", "c", "id", "n", *BITS_OF, "norm")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            rest = now if rest is None else pa.concat_tables([rest, now])
+            first = _cell_starts(rest)
+            if len(first) > 1:
+                yield _linked(rest.slice(0, first[-1]), first[:-1])
+                rest = rest.slice(first[-1])
+        if rest is not None and len(rest):
+            yield _linked(rest, _cell_starts(rest))
+
+    dealt = rows.repartition(*cell).sortWithinPartitions(*cell)
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _cell_starts(rows: pa.Table) -> np.ndarray:
+    if not len(rows):
+        return np.empty(0, np.int64)
+    new = np.zeros(len(rows) - 1, bool)
+    for k in range(3):
+        new |= np.diff(rows.column(k).to_numpy()) != 0
+    return np.concatenate([[0], np.flatnonzero(new) + 1])
+
+
+def _linked(rows: pa.Table, first: np.ndarray) -> pa.RecordBatch:
+    """Links of whole cells. Pairs are compared in growing numbers, those first that come first, so
+    that most are connected before their turn."""
+    low, high, part, c, ids, n, bits0, bits1 = (rows.column(k).to_numpy() for k in range(1, 9))
+    bits0, bits1 = bits0.view(np.uint64), bits1.view(np.uint64)
+    norm = rows.column(9)
+    a_of, b_of = [], []
+    for start, end in zip(first.tolist(), [*first[1:].tolist(), len(rows)], strict=True):
+        i, j = np.triu_indices(end - start, 1)
+        i, j = i + start, j + start
+        able = (c[i] != c[j]) & ((low[start] == high[start]) | (part[i] != part[j])) & (100 * np.minimum(n[i], n[j]) >= SIMILARITY * np.maximum(n[i], n[j]))
+        i, j = i[able], j[able]
+        near = np.bitwise_count(bits0[i] ^ bits0[j]).astype(np.int64) + np.bitwise_count(bits1[i] ^ bits1[j]) <= BITS
+        i, j = i[near], j[near]
+        if not len(i):
+            continue
+        texts = norm.slice(start, end - start).to_pylist()
+        _, of = np.unique(c[start:end], return_inverse=True)
+        size = end - start
+        while len(i):
+            some = alike_pairs(texts, i[:size] - start, j[:size] - start)
+            for x, y in zip(i[:size][some].tolist(), j[:size][some].tolist(), strict=True):
+                if of[x - start] != of[y - start]:
+                    a_of.append(min(ids[x], ids[y]))
+                    b_of.append(max(ids[x], ids[y]))
+                    of[of == of[x - start]] = of[y - start]
+            i, j, size = i[size:], j[size:], 2 * size
+            apart = of[i - start] != of[j - start]
+            i, j = i[apart], j[apart]
+    return pa.RecordBatch.from_arrays([pa.array(a_of, pa.int64()), pa.array(b_of, pa.int64())], names=["a", "b"])
+
+
+def alike_pairs(texts: list[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return np.array(all_alike([texts[k] for k in i], [texts[k] for k in j]), bool)
+
+
 def _groups(texts: DataFrame, lines: DataFrame, classes: DataFrame) -> DataFrame | None:
-    """Components (node, component) of the classes. Keys that only one class has are found by the
-    least and the greatest class and stay behind."""
-    again = lines.select("id", F.explode("keys").alias("key")).groupBy("key").agg(F.min("id").alias("_least"), F.max("id").alias("_most")).filter("_least < _most").select("key")
-    again = table(again, "line-keys-repeated")
-    spread = bloom.filtered(lines.select("id", "n", *BITS_OF, F.explode("keys").alias("key")), "key", again, again.count()).distinct()
-    members = table(spread.join(again, "key"), "line-buckets")
-    if members.isEmpty():
+    """Components (node, component) of the classes. Keys that only one class has stay behind."""
+    pairs = table(keyed_lines(lines), "line-keys")
+    if pairs.isEmpty():
         return None
-
     # The texts of all members, once for all rounds.
-    wanted = members.select("id").distinct()
-    norms = table(class_texts(texts, classes.join(wanted, "id", "left_semi").select("id", "first")), "line-texts", compression="zstd")
+    place = [F.col(f"first.{k}").alias(k) for k in (*PLACE, "line")]
+    wanted = table(classes.join(pairs.select("id").distinct(), "id", "left_semi").select("id", *place), "line-classes-wanted")
+    number = wanted.count()
+    about = bloom.filtered(lines.select("id", "n", *BITS_OF), "id", wanted.select("id"), number).dropDuplicates(["id"])
+    members = table(pairs.join(about, "id").select("id", "n", *BITS_OF, "key"), "line-buckets")
+    drop_table(pairs)
+    norms = table(class_texts(texts, wanted, number), "line-texts", compression="zstd")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         half = spread_join(pairs, norms.select(F.col("id").alias("a"), F.col("norm").alias("x")), "a", pairs)
@@ -332,7 +461,8 @@ def _groups(texts: DataFrame, lines: DataFrame, classes: DataFrame) -> DataFrame
         return both.filter(similar("x", "y")).select("a", "b")
 
     close = f"100 * least(na, nb) >= {SIMILARITY} * greatest(na, nb)"
-    found = links(members, ["key"], close, confirm, lambda rest: rest, BITS_OF, " + ".join(f"bit_count({b} ^ o_{b})" for b in BITS_OF) + f" <= {BITS}")
+    near = " + ".join(f"bit_count({b} ^ o_{b})" for b in BITS_OF) + f" <= {BITS}"
+    found = links(members, ["key"], close, confirm, lambda rest: rest, BITS_OF, near, lambda dealt: connect(dealt, norms))
     return None if found is None else components(found)
 
 

@@ -4,7 +4,7 @@ In each round the members of a bucket are compared with one of them, its leader;
 each member with one leader only, the same for many of its buckets. What has come to the same
 component by confirmed links needs no further comparison. After ``ROUNDS`` rounds, with
 another leader each, buckets that still hold several components have their members compared across
-components, within a join, by a condition on columns that they carry. So every pair of a bucket
+components, within a join or by a given function, by a condition on columns that they carry. So every pair of a bucket
 that is alike by that condition is confirmed or already connected.
 
 The last comparison is laid out in cells: a bucket's members are dealt into parts of about ``PART``,
@@ -43,32 +43,38 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, pairs: DataFrame, p
     return salted.join(copies, [key, "_salt"]).drop("_salt")
 
 
-def across(rest: DataFrame, key: list[str], carried: list[str], alike: str) -> DataFrame:
-    """Pairs (a, b, na, nb) of a bucket's members in different components ``c`` that are ``alike``."""
+def cells(rest: DataFrame, key: list[str], carried: list[str]) -> DataFrame:
+    """The members of buckets in each cell (_low, _high) that compares them, with the part they are in."""
     parts = table(rest.groupBy(*key).agg(F.ceil(F.count("*") / PART).cast("int").alias("_parts")), "bucket-parts")
     dealt = rest.join(parts, key).withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
     cell = F.explode(F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda j: F.struct(F.least(j, F.col("_part")).alias("low"), F.greatest(j, F.col("_part")).alias("high"))))
-    dealt = dealt.withColumn("_cell", cell).select(*key, F.col("_cell.low").alias("_low"), F.col("_cell.high").alias("_high"), "_part", "id", "n", "c", *carried)
+    return dealt.withColumn("_cell", cell).select(*key, F.col("_cell.low").alias("_low"), F.col("_cell.high").alias("_high"), "_part", "id", "n", "c", *carried)
+
+
+def across(rest: DataFrame, key: list[str], carried: list[str], alike: str) -> DataFrame:
+    """Pairs (a, b, na, nb) of a bucket's members in different components ``c`` that are ``alike``."""
+    dealt = cells(rest, key, carried)
     other = dealt.select(*key, "_low", "_high", F.col("_part").alias("o_part"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), *(F.col(x).alias(f"o_{x}") for x in carried))
     pairs = dealt.withColumnsRenamed({"id": "a", "n": "na"}).join(other, [*key, "_low", "_high"])
     return pairs.filter("c < cb and (_low = _high or _part <> o_part)").filter(alike).select("a", "b", "na", "nb")
 
 
-def links(members: DataFrame, key: list[str], close: str, confirm: Callable[[DataFrame], DataFrame], sketch: Callable[[DataFrame], DataFrame], carried: list[str], alike: str) -> DataFrame | None:
+def links(members: DataFrame, key: list[str], close: str, confirm: Callable[[DataFrame], DataFrame], sketch: Callable[[DataFrame], DataFrame], carried: list[str], alike: str, within: Callable[[DataFrame], DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame | None:
     """``members``: the key's columns, id and n. ``close``: a condition on the sizes na and nb that
     links fulfil. ``confirm``: the linked ones of pairs (a, b). ``sketch``: adds the columns
     ``carried`` to members; ``alike``: a condition on a member's, named as they are, and another
     member's, with ``o_`` before the name; it counts from the first round if members have the columns
-    already. Confirmed links (a, b), as a table, or None if there are none."""
+    already. ``within``: confirmed links of ``cells`` that connect what is alike there, in place of the
+    pairs. Confirmed links (a, b), as a table, or None if there are none."""
     found: DataFrame | None = None
     tried: DataFrame | None = None
     now = members.withColumn("c", F.col("id"))
     at_once = [x for x in carried if x in members.columns]
-    for number in range(ROUNDS + 1):
+    for number in range(rounds + 1):
         lead = F.min_by(F.struct("id", "n", "c", *at_once), F.struct(F.xxhash64("id", F.lit(number)), F.col("id")))
         several = now.groupBy(*key).agg(F.min("c").alias("_least"), F.max("c").alias("_most"), lead.alias("lead")).filter("_least < _most")
         several = table(several, "buckets-led")  # a table: Spark splits a hot key only in a join of plain shuffles
-        if number < ROUNDS:
+        if number < rounds:
             pairs = now.join(several.select(*key, "lead"), key).filter("c <> lead.c")
             if at_once:
                 pairs = pairs.withColumns({f"o_{x}": F.col(f"lead.{x}") for x in carried}).filter(alike)
@@ -79,6 +85,9 @@ def links(members: DataFrame, key: list[str], close: str, confirm: Callable[[Dat
             rest = table(now.join(several.select(*key), key), "buckets-mixed")
             if rest.isEmpty():
                 break
+            if within is not None:
+                new = within(cells(sketch(rest), key, carried))
+                return table(new if found is None else found.unionByName(new), "links")
             pairs = across(sketch(rest), key, carried, alike)
         pairs = pairs.filter(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tried is not None:
@@ -91,7 +100,7 @@ def links(members: DataFrame, key: list[str], close: str, confirm: Callable[[Dat
         before, found = found, table(new if found is None else found.unionByName(new), "links")
         if before is not None:
             drop_table(before)
-        if number < ROUNDS:
+        if number < rounds:
             comp = components(found).select(F.col("node").alias("id"), "component")
             now = table(members.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"), "buckets-now")
     return found
