@@ -10,9 +10,12 @@ principle the others agree:
 * from ``MIDDLE`` words on, five blocks, two of them a key;
 * below, a word is a block, and a key is all of them but one, or all.
 
-Classes near a limit have the keys of both sides. A key needs different words of some ``WEIGHT``,
-their bytes less one each, as short words are common; a class that has no such key is linked by
-equality only, but long ones with few keys, which repeat themselves, have those of the middle too. Characters of scripts without blanks count as words of weight two.
+Classes near a limit have the keys of both sides. A key of different words of less than ``WEIGHT``,
+their bytes less one each, is common; it holds the class of the line's length too, and stands only
+where what a changed word leaves has no heavier key: short lines keep all of theirs, middle ones have
+one of the four blocks left, and long ones with few keys have those of the middle too. So lines that
+differ by one word share a key whatever their words weigh, if they have a word in common. Characters
+of scripts without blanks count as words of weight two.
 
 Classes that share a key, whose lengths allow it and whose 128 bits differ in at most ``BITS``
 are links if their edit similarity, 1 - distance / longer length, is at least ``SIMILARITY``: what
@@ -29,6 +32,7 @@ pass through under any name, but for the result's own.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -45,14 +49,16 @@ from quern.session import attach, drop_table, numbered, scope, table
 
 SIMILARITY = 80
 BITS = 44
-SHORT, MIDDLE, LONG = 3, 9, 24
+SHORT, MIDDLE, LONG = 1, 9, 24
 #: A class this near to a limit has the keys of both sides.
 NEAR = 2
 BLOCKS, FEW = 6, 3
 #: Keys to a range, and keys or pairs that a worker holds before it passes them on.
 RANGE, HELD = 500_000, 1_000_000
-#: The least weight of a short, middle and long line's keys.
+#: The least weight of a short, middle and long line's keys that need no class of length.
 WEIGHT = (8, 10, 14)
+#: Lengths of lines that are alike are in the same or in neighbouring classes, as 1 / 0.8 is less.
+CLASS = 1.26
 MADE = ("n_lines", "n_removed")
 #: What a byte of a line becomes; 0x20 separates. Bytes of other scripts stay.
 NORMAL = W.LOWER.copy()
@@ -132,6 +138,13 @@ def _blocks(x: Lines, line: np.ndarray, dealt: np.ndarray) -> tuple[np.ndarray,
     return run[order][first], group[first] - offset[run[order][first]], simhash(x.hashes[at], first), np.add.reduceat(x.weight[at], first)
 
 
+def _light(x: Lines, line: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Common keys, each with the class of the line's length and with the next: lines that are alike
+    and have the same key share one of these."""
+    length = np.floor(np.log(x.chars[line]) / np.log(CLASS)).astype(np.uint64)
+    return np.tile(line, 2), np.concatenate([W.mix64(W.mix64(keys ^ _SALT[5]) + c) for c in (length, length + np.uint64(1))])
+
+
 def _short_keys(x: Lines, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = x.n[line]
     at, run = _expanded(x.first[line], n)
@@ -140,8 +153,10 @@ def _short_keys(x: Lines, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     total, total_size = np.add.reduceat(value, first), np.add.reduceat(size, first)
     keys = np.concatenate([W.mix64(total), W.mix64(total[run] - value)])
     sizes = np.concatenate([total_size, total_size[run] - size])
-    able = sizes >= WEIGHT[0]
-    return np.concatenate([line, line[run]])[able], keys[able]
+    lines, able = np.concatenate([line, line[run]]), sizes >= WEIGHT[0]
+    light = ~able & np.concatenate([np.ones(len(line), bool), n[run] > 1])
+    common = _light(x, lines[light], keys[light])
+    return np.concatenate([lines[able], common[0]]), np.concatenate([keys[able], common[1]])
 
 
 def _middle_keys(x: Lines, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,23 +164,30 @@ def _middle_keys(x: Lines, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     values, sizes = np.zeros((len(line), BLOCKS), np.uint64), np.zeros((len(line), BLOCKS), np.int64)
     values[entry, number], sizes[entry, number] = W.mix64(value ^ _SALT[1]), size
     found = []
-    for i in range(BLOCKS):
-        for j in range(i + 1, BLOCKS):
-            able = sizes[:, i] + sizes[:, j] >= WEIGHT[1]
-            found.append((line[able], W.mix64(values[able, i] * np.uint64(3) + values[able, j] + np.uint64(BLOCKS * i + j))))
+    heavy = {(i, j): sizes[:, i] + sizes[:, j] >= WEIGHT[1] for i, j in combinations(range(BLOCKS), 2)}
+    for (i, j), able in heavy.items():
+        found.append((line[able], W.mix64(values[able, i] * np.uint64(3) + values[able, j] + np.uint64(BLOCKS * i + j))))
+    for left in combinations(range(BLOCKS), BLOCKS - 2):
+        light = np.flatnonzero(~np.any([heavy[pair] for pair in combinations(left, 2)], axis=0))
+        keys = np.full(len(light), sum(1 << k for k in left), np.uint64)
+        for k in left:
+            keys = W.mix64(keys) + values[light, k]
+        found.append(_light(x, line[light], keys))
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def _long_keys(x: Lines, line: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _long_keys(x: Lines, line: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lines and keys, and those lines that have fewer than ``FEW`` on a level."""
     entry, number, value, size = _blocks(x, line, np.int64(8) << level)
     keys = W.mix64(W.mix64(value ^ _SALT[2]) + (number * 64 + level[entry]).astype(np.uint64))
     able = size >= WEIGHT[2]
-    return line[entry[able]], keys[able]
+    return line[entry[able]], keys[able], line[np.bincount(entry[able], minlength=len(line)) < FEW]
 
 
 def line_keys(x: Lines, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lines of ``use`` and all their keys, by line. Long lines with fewer keys than ``FEW``, as those
-    that repeat themselves have, get those of a middle one too. Word counts a fifth apart share a level."""
+    """Lines of ``use`` and all their keys, by line. Long lines with fewer keys than ``FEW`` on a level,
+    all of which a changed word may spoil, get those of a middle one too. Word counts a fifth apart
+    share a level."""
     n = x.n[use]
     found = []
     middle = use[(n >= MIDDLE) & (n < LONG + NEAR + 1)]
@@ -175,8 +197,9 @@ def line_keys(x: Lines, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         m = x.n[line]
         level = np.maximum(0, np.floor(np.log2(m / LONG))).astype(np.int64)
         up, down = m > 0.9 * (LONG << (level + 1)), (m <= 1.125 * (LONG << level)) & (level > 0)
-        found.append(_long_keys(x, np.concatenate([line, line[up], line[down]]), np.concatenate([level, level[up] + 1, level[down] - 1])))
-        middle = np.union1d(middle, line[np.bincount(found[-1][0], minlength=len(x.n))[line] < FEW])
+        of, keys, few = _long_keys(x, np.concatenate([line, line[up], line[down]]), np.concatenate([level, level[up] + 1, level[down] - 1]))
+        found.append((of, keys))
+        middle = np.union1d(middle, few)
     if len(middle):
         found.append(_middle_keys(x, middle))
     if not found:

@@ -283,3 +283,22 @@ def test_lines_of_few_words(spark):
     got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1] == (rows[0][1], 0) and got[2] == ("", 2) and got[4] == (rows[3][1], 0)
     assert got[3] == ("all rights reversed", 1)
+
+
+def test_lines_of_light_words(spark):
+    """Lines that differ by one word, of words too light for keys of their own: all pairs that brute
+    force finds alike, by bits and edit similarity, are linked."""
+    random.seed(21)
+    rows = []
+    for k in range(240):
+        n = 2 + k % 26
+        words = ["".join(random.choice(ALPHABET) for _ in range(random.choice([1, 2, 2, 9 if n < 5 else 2]))) for _ in range(n)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(one_letter(words) if k % 3 else one_word_less(words)))]
+    want = set()
+    for (i, a), (j, b) in zip(rows[::2], rows[1::2]):
+        lines = line_dedup.Lines(next(iter(W.blocks(pa.array([a, b])))))
+        differ = sum(int(np.bitwise_count(x[0] ^ x[1])) for x in line_dedup.line_bits(lines, np.arange(2)))
+        if differ <= line_dedup.BITS and 5 * line_dedup.distance(a, b) <= max(len(a), len(b)):
+            want.add(j)
+    got = {r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_removed > 0").collect()}
+    assert len(want) > 100 and want <= got
