@@ -31,7 +31,7 @@ pass through under any name, but for the result's own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -399,9 +399,16 @@ def similar(x: pd.Series, y: pd.Series) -> pd.Series:
 def connect(cells: DataFrame, norms: DataFrame) -> DataFrame:
     """Links (a, b) of the lines of each cell that connect all that are alike there, as ``cells`` of
     ``linking``, fewer than the cell has lines: lines are compared in the task that has their cell, and
-    not at all once they are connected."""
+    not at all once they are connected. Only lines with another one near by bits meet their texts."""
     cell = ["key", "_low", "_high"]
-    rows = cells.join(norms, "id").select(*cell, "_part", "c", "id", "n", *BITS_OF, "norm")
+    rows = cells.select(*cell, "_part", "c", "id", "n", *BITS_OF)
+    near = rows.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_by_cell(_near), rows.schema)
+    dealt = near.join(norms, "id").select(*rows.columns, "norm").repartition(*cell).sortWithinPartitions(*cell)
+    return dealt.mapInArrow(_by_cell(_linked), "a long, b long")
+
+
+def _by_cell(f: Callable[[pa.Table, np.ndarray], pa.Table]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Applies a function to the rows of many whole cells at a time and the places where they start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -410,13 +417,12 @@ def connect(cells: DataFrame, norms: DataFrame) -> DataFrame:
             rest = now if rest is None else pa.concat_tables([rest, now])
             first = _cell_starts(rest)
             if len(first) > 1:
-                yield _linked(rest.slice(0, first[-1]), first[:-1])
+                yield from f(rest.slice(0, first[-1]), first[:-1]).to_batches()
                 rest = rest.slice(first[-1])
         if rest is not None and len(rest):
-            yield _linked(rest, _cell_starts(rest))
+            yield from f(rest, _cell_starts(rest)).to_batches()
 
-    dealt = rows.repartition(*cell).sortWithinPartitions(*cell)
-    return dealt.mapInArrow(run, "a long, b long")
+    return run
 
 
 def _cell_starts(rows: pa.Table) -> np.ndarray:
@@ -428,36 +434,49 @@ def _cell_starts(rows: pa.Table) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(new) + 1])
 
 
-def _linked(rows: pa.Table, first: np.ndarray) -> pa.RecordBatch:
-    """Links of whole cells. Pairs are compared in growing numbers, those first that come first, so
-    that most are connected before their turn."""
-    low, high, part, c, ids, n, bits0, bits1 = (rows.column(k).to_numpy() for k in range(1, 9))
-    bits0, bits1 = bits0.view(np.uint64), bits1.view(np.uint64)
-    norm = rows.column(9)
-    a_of, b_of = [], []
-    for start, end in zip(first.tolist(), [*first[1:].tolist(), len(rows)], strict=True):
-        i, j = np.triu_indices(end - start, 1)
-        i, j = i + start, j + start
-        able = (c[i] != c[j]) & ((low[start] == high[start]) | (part[i] != part[j])) & (100 * np.minimum(n[i], n[j]) >= SIMILARITY * np.maximum(n[i], n[j]))
-        i, j = i[able], j[able]
-        near = np.bitwise_count(bits0[i] ^ bits0[j]).astype(np.int64) + np.bitwise_count(bits1[i] ^ bits1[j]) <= BITS
-        i, j = i[near], j[near]
-        if not len(i):
-            continue
-        texts = norm.slice(start, end - start).to_pylist()
-        _, of = np.unique(c[start:end], return_inverse=True)
-        size = end - start
-        while len(i):
-            some = alike_pairs(texts, i[:size] - start, j[:size] - start)
-            for x, y in zip(i[:size][some].tolist(), j[:size][some].tolist(), strict=True):
-                if of[x - start] != of[y - start]:
-                    a_of.append(min(ids[x], ids[y]))
-                    b_of.append(max(ids[x], ids[y]))
-                    of[of == of[x - start]] = of[y - start]
-            i, j, size = i[size:], j[size:], 2 * size
-            apart = of[i - start] != of[j - start]
-            i, j = i[apart], j[apart]
-    return pa.RecordBatch.from_arrays([pa.array(a_of, pa.int64()), pa.array(b_of, pa.int64())], names=["a", "b"])
+def _near_pairs(rows: pa.Table, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of each cell, by cell, whose components differ and whose lengths and bits allow a link."""
+    low, high, part, c, n, bits0, bits1 = (rows.column(k).to_numpy() for k in (1, 2, 3, 4, 6, 7, 8))
+    after = np.arange(len(rows)) + 1
+    j, i = _expanded(after, np.repeat(np.append(first[1:], len(rows)), np.diff(np.append(first, len(rows)))) - after)
+    able = (c[i] != c[j]) & ((low[i] == high[i]) | (part[i] != part[j])) & (100 * np.minimum(n[i], n[j]) >= SIMILARITY * np.maximum(n[i], n[j]))
+    i, j = i[able], j[able]
+    differ = np.bitwise_count((bits0[i] ^ bits0[j]).view(np.uint64)).astype(np.int64) + np.bitwise_count((bits1[i] ^ bits1[j]).view(np.uint64))
+    return i[differ <= BITS], j[differ <= BITS]
+
+
+def _near(rows: pa.Table, first: np.ndarray) -> pa.Table:
+    i, j = _near_pairs(rows, first)
+    return rows.take(pa.array(np.union1d(i, j)))
+
+
+def _linked(rows: pa.Table, first: np.ndarray) -> pa.Table:
+    """Links of whole cells. Pairs are compared in growing numbers a cell, those first that come first,
+    so that most are connected before their turn; those of all cells together."""
+    ids, texts = rows.column(5).to_numpy(), rows.column(9).to_pylist()
+    i, j = _near_pairs(rows, first)
+    _, of = np.unique(rows.column(4).to_numpy(), return_inverse=True)
+    root = np.arange(of.max(initial=-1) + 1)
+    size = np.diff(np.append(first, len(rows)))
+    found: list[tuple[int, int]] = []
+    while len(i):
+        cell = np.searchsorted(first, i, "right") - 1
+        turn = np.arange(len(i)) - np.searchsorted(cell, cell) < size[cell]
+        some = alike_pairs(texts, i[turn], j[turn])
+        for x, y in zip(i[turn][some].tolist(), j[turn][some].tolist(), strict=True):
+            a, b = of[x], of[y]
+            while root[a] != a:
+                a = root[a]
+            while root[b] != b:
+                b = root[b]
+            if a != b:
+                found.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+                root[max(a, b)] = min(a, b)
+        while (root[root] != root).any():
+            root = root[root]
+        left = ~turn & (root[of[i]] != root[of[j]])
+        i, j, size = i[left], j[left], 2 * size
+    return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def alike_pairs(texts: list[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:

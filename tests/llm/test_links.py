@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from quern.llm import edits, line_dedup, linking
@@ -43,3 +45,25 @@ def test_spread_join(spark, monkeypatch, part, few):
     right = spark.createDataFrame([(k, f"t{k}") for k in range(9)], "a long, x string")
     got = sorted((r.a, r.b, r.x) for r in linking.spread_join(left, right, "a", left, part).collect())
     assert got == sorted((a, b, f"t{a}") for a, b in pairs)
+
+
+def test_cells_connect_together(monkeypatch):
+    """Cells of one batch are compared together, not cell by cell, and connect what is alike in each."""
+    random.seed(6)
+    rows, want = [], set()
+    for cell in range(300):
+        base = "".join(random.choice("abcdefgh ") for _ in range(40)).strip() + "z"
+        kinds = [base, base[:20] + "q" + base[21:], base[::-1] + "yyyy", base[:9] + "w" + base[10:]]
+        ids = [10 * cell + k for k in range(4)]
+        rows += [(cell, 0, 0, 0, i, i, len(t), 0, 0, t) for i, t in zip(ids, kinds)]
+        want.add((ids[0], ids[1], ids[3]))
+    names = ["key", "_low", "_high", "_part", "c", "id", "n", "bits0", "bits1", "norm"]
+    table = pa.table({k: [r[i] for r in rows] for i, k in enumerate(names)})
+    calls = []
+    each = line_dedup.alike_pairs
+    monkeypatch.setattr(line_dedup, "alike_pairs", lambda *a: calls.append(1) or each(*a))
+    links = line_dedup._linked(table, np.arange(0, len(rows), 4)).to_pylist()
+    groups = {}
+    for r in links:
+        groups.setdefault(r["a"] // 10, set()).update((r["a"], r["b"]))
+    assert {tuple(sorted(g)) for g in groups.values()} == want and len(links) == 600 and len(calls) < 10
