@@ -44,8 +44,8 @@ from pyspark.sql.types import BooleanType
 from quern.llm import bloom, edits
 from quern.llm import words as W
 from quern.llm.components import components
-from quern.llm.linking import links, spread_join
-from quern.session import attach, drop_table, numbered, scope, table
+from quern.llm.linking import cells, links, spread_join
+from quern.session import attach, drop_table, free_shuffles, numbered, scope, table
 
 SIMILARITY = 80
 BITS = 44
@@ -55,6 +55,10 @@ NEAR = 2
 BLOCKS, FEW = 6, 3
 #: Keys to a range, and keys or pairs that a worker holds before it passes them on.
 RANGE, HELD = 500_000, 1_000_000
+#: Bytes that keys, and ids in buckets, are cut to: what is told apart no more is compared in vain.
+CUT = 5
+#: Rows of whole cells that are compared together.
+CELL_ROWS = 8192
 #: The least weight of a short, middle and long line's keys that need no class of length.
 WEIGHT = (8, 10, 14)
 #: Lengths of lines that are alike are in the same or in neighbouring classes, as 1 / 0.8 is less.
@@ -224,7 +228,7 @@ def line_bits(x: Lines, use: np.ndarray) -> list[np.ndarray]:
 
 def line_rows(texts: DataFrame) -> DataFrame:
     """(doc, _file, _row, text) to a row for each line with a word: its number (from 0), class,
-    normalised length in characters, SimHash and keys, of 8 bytes each."""
+    normalised length in characters, SimHash and keys, of ``CUT`` bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,7 +245,7 @@ def line_rows(texts: DataFrame) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(line, minlength=len(x.n))[use])])
                 text = np.searchsorted(x.first_line, use, "right") - 1
                 columns = [p[b.first + text] for p in places] + [use - x.first_line[text], whole.view(np.int64), x.chars[use], *(bits.view(np.int64) for bits in line_bits(x, use))]
-                made = pa.Array.from_buffers(pa.binary(), len(use), [None, pa.py_buffer((8 * offsets).astype(np.int32)), pa.py_buffer(keys)])
+                made = pa.Array.from_buffers(pa.binary(), len(use), [None, pa.py_buffer((CUT * offsets).astype(np.int32)), pa.py_buffer(_cut(keys).tobytes())])
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), made], names=["doc", "_file", "_row", "line", "id", "n", *BITS_OF, "keys"])
 
     return texts.select("doc", *PLACE, "text").mapInArrow(run, LINE_ROWS)
@@ -255,10 +259,13 @@ def normalised(line: Column) -> Column:
 
 
 def keyed_lines(lines: DataFrame) -> DataFrame:
-    """(id, keys) to (key, id), each once, of the keys that several classes have. Keys travel packed:
+    """(id, keys) to (key, id), each once, of the keys that several classes have. The classes of a key
+    have the one among them that comes first by a hash as their key instead, so that keys of the same
+    classes become one, and classes are compared in few buckets however many keys they share; what
+    shares a key shares a bucket. Ids are cut (``short``). Keys travel packed:
     a row holds many of one range of keys, sorted, byte by byte, so what they have in common shrinks.
     Each range has about ``RANGE`` of them, copies of classes aside, and is sorted in one task."""
-    total = lines.agg(F.sum(F.octet_length("keys") / 8).cast("long")).first()[0] or 0
+    total = lines.agg(F.sum(F.octet_length("keys") / CUT).cast("long")).first()[0] or 0
     parts = -(-total // RANGE) or 1
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,8 +282,9 @@ def keyed_lines(lines: DataFrame) -> DataFrame:
             column = batch.column(1)
             n = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4) if len(column) else np.zeros(1, np.int32)
             if n[-1] > n[0]:
-                keys = np.frombuffer(column.buffers()[2], np.uint64, (n[-1] - n[0]) // 8, n[0])
-                held.append((keys.copy(), np.repeat(batch.column(0).to_numpy(), np.diff(n) // 8).view(np.uint64)))
+                keys = _whole(np.frombuffer(column.buffers()[2], np.uint8, n[-1] - n[0], n[0]).reshape(-1, CUT))
+                ids = batch.column(0).to_numpy().view(np.uint64) & _SHORT
+                held.append((keys, np.repeat(ids, np.diff(n) // CUT)))
             if sum(len(h[0]) for h in held) >= HELD:
                 yield packed()
                 held.clear()
@@ -289,12 +297,22 @@ def keyed_lines(lines: DataFrame) -> DataFrame:
             keys, ids = _once(*(np.concatenate([f[k] for f in found]) for k in (0, 1)))
             again = np.concatenate([[False], keys[1:] == keys[:-1]])
             again[:-1] |= again[1:]
-            keys, ids = keys[again].view(np.int64), ids[again].view(np.int64)
+            keys, ids = _once(*_led(keys[again], ids[again]))
+            keys, ids = keys.view(np.int64), ids.view(np.int64)
             for a in range(0, len(keys), HELD):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + HELD]), pa.array(ids[a : a + HELD])], names=["key", "id"])
 
     some = lines.select("id", "keys").mapInArrow(pack, "part long, keys binary, ids binary")
-    return some.repartition(parts, "part").mapInArrow(shared, "key long, id long")
+    return some.repartition(parts, "part").mapInArrow(shared, "key long, id long").distinct()
+
+
+def _led(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ids in order of their keys, each once for a key: the key's id of the least hash, and the ids."""
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    if not len(first):
+        return ids, ids
+    size, order = np.diff(np.append(first, len(keys))), W.mix64(ids ^ _SALT[6])
+    return np.repeat(ids[order == np.repeat(np.minimum.reduceat(order, first), size)], size), ids
 
 
 def _once(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -311,13 +329,32 @@ def _once(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[left], ids[left]
 
 
+_SHORT = np.uint64((1 << 64) - (1 << 64 - 8 * CUT))
+
+
+def short(column: str) -> Column:
+    """An id as in buckets."""
+    return F.col(column).bitwiseAND(F.lit(int(_SHORT) - (1 << 64)))
+
+
+def _cut(values: np.ndarray) -> np.ndarray:
+    """The highest bytes of numbers, a row each."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, 8 - CUT :]
+
+
+def _whole(rows: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(rows), 8), np.uint8)
+    out[:, 8 - CUT :] = rows
+    return out.view(np.uint64).ravel()
+
+
 def _planes(values: np.ndarray) -> bytes:
-    """Numbers as their first bytes, then their second ones and so on."""
-    return values.view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Cut numbers as their first bytes, then their second ones and so on."""
+    return _cut(values).T.tobytes()
 
 
 def _values(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    return _whole(np.frombuffer(planes, np.uint8).reshape(CUT, -1).T)
 
 
 def class_texts(texts: DataFrame, wanted: DataFrame, number: int) -> DataFrame:
@@ -385,10 +422,14 @@ def alike(a: str, b: str) -> bool:
 
 
 def all_alike(a: list[str], b: list[str]) -> list[bool]:
-    """``alike`` of each pair; pairs of like, moderate lengths are compared together."""
-    longer = [max(len(x), len(y)) for x, y in zip(a, b, strict=True)]
-    found = edits.distances(a, b).tolist()
-    return [alike(x, y) if d < 0 else d <= (100 - SIMILARITY) * n // 100 for x, y, d, n in zip(a, b, found, longer, strict=True)]
+    """``alike`` of each pair; pairs whose words do not show it at once are compared together."""
+    limit = [(100 - SIMILARITY) * max(len(x), len(y)) // 100 for x, y in zip(a, b, strict=True)]
+    out = [abs(len(x) - len(y)) <= n and at_most(x.split(" "), y.split(" "), n) for x, y, n in zip(a, b, limit, strict=True)]
+    rest = [i for i, shown in enumerate(out) if not shown and abs(len(a[i]) - len(b[i])) <= limit[i]]
+    found = edits.within([a[i] for i in rest], [b[i] for i in rest], np.array([limit[i] for i in rest], np.int64)).tolist()
+    for i, d in zip(rest, found, strict=True):
+        out[i] = distance(a[i], b[i]) <= limit[i] if d < 0 else d == 1
+    return out
 
 
 @F.pandas_udf(BooleanType())
@@ -396,14 +437,21 @@ def similar(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series(all_alike(x.tolist(), y.tolist()), dtype=bool)
 
 
+CELL = ["key", "_low", "_high"]
+
+
+def near_rows(cells: DataFrame) -> DataFrame:
+    """The rows of ``cells`` of ``linking`` that have another one near by bits in their cell."""
+    rows = cells.select(*CELL, "_part", "c", "id", "n", *BITS_OF)
+    return rows.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(_by_cell(_near), rows.schema)
+
+
 def connect(cells: DataFrame, norms: DataFrame) -> DataFrame:
     """Links (a, b) of the lines of each cell that connect all that are alike there, as ``cells`` of
     ``linking``, fewer than the cell has lines: lines are compared in the task that has their cell, and
     not at all once they are connected. Only lines with another one near by bits meet their texts."""
-    cell = ["key", "_low", "_high"]
-    rows = cells.select(*cell, "_part", "c", "id", "n", *BITS_OF)
-    near = rows.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_by_cell(_near), rows.schema)
-    dealt = near.join(norms, "id").select(*rows.columns, "norm").repartition(*cell).sortWithinPartitions(*cell)
+    rows = near_rows(cells)
+    dealt = rows.join(norms, "id").select(*rows.columns, "norm").repartition(*CELL).sortWithinPartitions(*CELL)
     return dealt.mapInArrow(_by_cell(_linked), "a long, b long")
 
 
@@ -415,6 +463,8 @@ def _by_cell(f: Callable[[pa.Table, np.ndarray], pa.Table]) -> Callable[[Iterato
         for batch in batches:
             now = pa.Table.from_batches([batch])
             rest = now if rest is None else pa.concat_tables([rest, now])
+            if len(rest) < CELL_ROWS:
+                continue
             first = _cell_starts(rest)
             if len(first) > 1:
                 yield from f(rest.slice(0, first[-1]), first[:-1]).to_batches()
@@ -488,14 +538,21 @@ def _groups(texts: DataFrame, lines: DataFrame, classes: DataFrame) -> DataFrame
     pairs = table(keyed_lines(lines), "line-keys")
     if pairs.isEmpty():
         return None
+    ids = table(pairs.select(F.col("id").alias("_short")).distinct(), "line-ids")
+    free_shuffles(texts.sparkSession)
+    about = bloom.filtered(lines.select("id", "n", *BITS_OF, short("id").alias("_short")), "_short", ids, ids.count()).dropDuplicates(["id"])
+    members = table(pairs.withColumnRenamed("id", "_short").join(about, "_short").select("id", "n", *BITS_OF, "key"), "line-buckets")
+    drop_table(pairs)
+    # Lines that are near no other one of a bucket by bits are none of it: they have no links there.
+    some = near_rows(cells(members.withColumn("c", F.col("id")), ["key"], BITS_OF)).select("id", "n", *BITS_OF, "key")
+    members, every = table(some.dropDuplicates(["key", "id"]), "line-buckets-near"), members
+    drop_table(every)
+    if members.isEmpty():
+        return None
     # The texts of all members, once for all rounds.
     place = [F.col(f"first.{k}").alias(k) for k in (*PLACE, "line")]
-    wanted = table(classes.join(pairs.select("id").distinct(), "id", "left_semi").select("id", *place), "line-classes-wanted")
-    number = wanted.count()
-    about = bloom.filtered(lines.select("id", "n", *BITS_OF), "id", wanted.select("id"), number).dropDuplicates(["id"])
-    members = table(pairs.join(about, "id").select("id", "n", *BITS_OF, "key"), "line-buckets")
-    drop_table(pairs)
-    norms = table(class_texts(texts, wanted, number), "line-texts", compression="zstd")
+    wanted = table(classes.join(members.select("id").distinct(), "id", "left_semi").select("id", *place), "line-classes-wanted")
+    norms = table(class_texts(texts, wanted, wanted.count()), "line-texts", compression="zstd")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         half = spread_join(pairs, norms.select(F.col("id").alias("a"), F.col("norm").alias("x")), "a", pairs)
@@ -519,6 +576,7 @@ def repeated(docs: DataFrame) -> DataFrame:
         lines = table(line_rows(texts), "lines")
         place = F.struct("doc", *PLACE, "line")
         classes = table(lines.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("k")), "line-classes")
+        free_shuffles(spark)
         comp = _groups(texts, lines, classes)
         if comp is None:
             several = classes.filter("k > 1").select("id", F.col("first").alias("stays"))

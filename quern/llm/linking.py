@@ -4,7 +4,7 @@ In each round the members of a bucket are compared with one of them, its leader;
 each member with one leader only, the same for many of its buckets. What has come to the same
 component by confirmed links needs no further comparison. After ``ROUNDS`` rounds, with
 another leader each, buckets that still hold several components have their members compared across
-components, within a join or by a given function, by a condition on columns that they carry. So every pair of a bucket
+components, within a join or by a given function (small buckets at once then), by a condition on columns that they carry. So every pair of a bucket
 that is alike by that condition is confirmed or already connected.
 
 The last comparison is laid out in cells: a bucket's members are dealt into parts of about ``PART``,
@@ -24,6 +24,8 @@ from quern.session import drop_table, table
 
 ROUNDS = 2
 PART = 256
+#: Buckets of more parts have leaders before a given function compares their members.
+LED = 4
 #: Keys, of 12 bytes each, that are broadcast at most.
 FEW = 100_000
 
@@ -44,9 +46,12 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, pairs: DataFrame, p
 
 
 def cells(rest: DataFrame, key: list[str], carried: list[str]) -> DataFrame:
-    """The members of buckets in each cell (_low, _high) that compares them, with the part they are in."""
-    parts = table(rest.groupBy(*key).agg(F.ceil(F.count("*") / PART).cast("int").alias("_parts")), "bucket-parts")
-    dealt = rest.join(parts, key).withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
+    """The members of buckets in each cell (_low, _high) that compares them, with the part they are in.
+    Buckets of several parts are counted first, and broadcast if they are at most ``FEW``."""
+    parts = table(rest.groupBy(*key).agg(F.ceil(F.count("*") / PART).cast("int").alias("_parts")).filter("_parts > 1"), "bucket-parts")
+    parts = F.broadcast(parts) if parts.count() <= FEW else parts
+    dealt = rest.join(parts, key, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    dealt = dealt.withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
     cell = F.explode(F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda j: F.struct(F.least(j, F.col("_part")).alias("low"), F.greatest(j, F.col("_part")).alias("high"))))
     return dealt.withColumn("_cell", cell).select(*key, F.col("_cell.low").alias("_low"), F.col("_cell.high").alias("_high"), "_part", "id", "n", "c", *carried)
 
@@ -65,15 +70,20 @@ def links(members: DataFrame, key: list[str], close: str, confirm: Callable[[Dat
     ``carried`` to members; ``alike``: a condition on a member's, named as they are, and another
     member's, with ``o_`` before the name; it counts from the first round if members have the columns
     already. ``within``: confirmed links of ``cells`` that connect what is alike there, in place of the
-    pairs. Confirmed links (a, b), as a table, or None if there are none."""
+    pairs; buckets of at most ``LED`` parts need no leaders then. Confirmed links (a, b), as a table, or None if there are none."""
     found: DataFrame | None = None
     tried: DataFrame | None = None
     now = members.withColumn("c", F.col("id"))
     at_once = [x for x in carried if x in members.columns]
     for number in range(rounds + 1):
+        if within is not None and number == rounds and found is None:
+            return table(within(cells(sketch(now), key, carried)), "links")
         lead = F.min_by(F.struct("id", "n", "c", *at_once), F.struct(F.xxhash64("id", F.lit(number)), F.col("id")))
-        several = now.groupBy(*key).agg(F.min("c").alias("_least"), F.max("c").alias("_most"), lead.alias("lead")).filter("_least < _most")
+        several = now.groupBy(*key).agg(F.min("c").alias("_least"), F.max("c").alias("_most"), lead.alias("lead"), F.count("*").alias("_members"))
+        several = several.filter("_least < _most" if within is None or number == rounds else f"_least < _most and _members > {LED * PART}")
         several = table(several, "buckets-led")  # a table: Spark splits a hot key only in a join of plain shuffles
+        if within is not None and number < rounds and several.isEmpty():
+            continue
         if number < rounds:
             pairs = now.join(several.select(*key, "lead"), key).filter("c <> lead.c")
             if at_once:

@@ -67,3 +67,36 @@ def test_cells_connect_together(monkeypatch):
     for r in links:
         groups.setdefault(r["a"] // 10, set()).update((r["a"], r["b"]))
     assert {tuple(sorted(g)) for g in groups.values()} == want and len(links) == 600 and len(calls) < 10
+
+
+@pytest.mark.parametrize("least", [1, 30])
+def test_distances_within_limits(monkeypatch, least):
+    """Banded and cut short, with the same answers as the whole table of distances."""
+    monkeypatch.setattr(edits, "FEW", least)
+    random.seed(7)
+    a = ["".join(random.choice("abcd é語") for _ in range(random.choice([1, 30, 64, 65, 200, 330, 700]))) for _ in range(250)]
+    b = []
+    for x in a:
+        y = list(x)
+        for _ in range(random.randint(0, 2 + len(x) // 4)):
+            k = random.randrange(len(y) + 1)
+            y[k : k + random.randint(0, 2)] = random.choice(["", "q", "zz"])
+        b.append("".join(y))
+    b[:20] = [x[::-1] + "ab" for x in a[:20]]
+    limit = np.array([max(len(x), len(y)) // 5 for x, y in zip(a, b)])
+    want = [int(line_dedup.distance(x, y) <= n) for x, y, n in zip(a, b, limit)]
+    got = edits.within(a, b, limit).tolist()
+    assert 50 < sum(want) < 200 and all(g in (-1, w) for g, w in zip(got, want))
+    if least == 1:
+        assert sum(g < 0 for g in got) < 30 and any(g >= 0 and len(x) > 512 for g, x in zip(got, a))
+
+
+def test_buckets_of_lines_that_share_many_keys(spark):
+    """Lines alike share most of their keys; they are few rows of buckets, not one for each key."""
+    random.seed(9)
+    head = ["".join(random.choice("abcdefghi") for _ in range(7)) for _ in range(40)]
+    texts = [(k, 0, k, " ".join([*head, f"{chr(97 + k)}tail"])) for k in range(20)]
+    rows = line_dedup.line_rows(spark.createDataFrame(texts, "doc long, _file long, _row long, text string"))
+    pairs = line_dedup.keyed_lines(rows).collect()
+    assert {r.id for r in pairs} == {r.id & -(1 << 24) for r in rows.select("id").collect()}
+    assert len(pairs) == len(set(pairs)) <= 3 * 20
