@@ -17,7 +17,8 @@ one of the four blocks left, and long ones with few keys have those of the middl
 differ by one word share a key whatever their words weigh, if they have a word in common. Characters
 of scripts without blanks count as words of weight two.
 
-Classes that share a key, whose lengths allow it and whose 128 bits differ in at most ``BITS``
+The classes of a key form a bucket with those of all keys that have the same first class by a hash.
+Classes that share a bucket, whose lengths allow it and whose 128 bits differ in at most ``BITS``
 are links if their edit similarity, 1 - distance / longer length, is at least ``SIMILARITY``: what
 is linked is exact, which pairs are looked at is not (the README has the recall). Of each connected
 group the first occurrence, by document and line, stays; all other lines of the group go, other
